@@ -25,15 +25,20 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only where that is unset (tests) a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rewind-checkpoint-"))
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, computed once and stored in the shared checkpoint folder.
 
-    Partitions and the order of rows in them stay. The folder is the cluster's
-    spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
+    Partitions and the order of rows in them stay.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rewind-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
