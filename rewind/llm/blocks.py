@@ -3,7 +3,7 @@
 What is known about a distinct word (its token ids, its count, its likelihood) has to meet
 every document that holds the word. Neither shuffling word occurrences nor broadcasting the
 vocabulary would scale, so documents are dealt by a hash of their id into blocks of about
-`block_bytes` of text. Each block names its distinct words once; a word is worked out once
+`block_bytes` of text, which travels packed. Each block names its distinct words once; a word is worked out once
 for the whole corpus; the results go back to the blocks that named it. A block's table is
 bounded by the block's text, a word's rows by the number of blocks.
 """
@@ -13,26 +13,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import arrow_map
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 
 
 def in_blocks(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text) with the number of its block; at least one block for each shuffle partition."""
+    """(doc_id, packed, block): each text compressed, with the number of its block."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(shuffle_partitions(texts.sparkSession), -(-total // block_bytes))
-    return texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"))
+    n = max(1, -(-total // block_bytes))
+
+    def pack(batches):
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t.encode("utf-8")) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
+
+    packed = arrow_map(texts.select("doc_id", "text"), pack, "doc_id long, packed binary")
+    return packed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+
+
+def unpacked(table: pa.Table) -> list[str]:
+    """The texts of a block."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    return [decompress(b).decode("utf-8") for b in table.column("packed").to_pylist()]
 
 
 def name_words(blocked: DataFrame, words: Callable[[list, list[str]], dict[bytes, int]]) -> DataFrame:
     """(block, word, n): the distinct words of each block by words(ids, texts), with a count of each."""
 
     def of_block(table: pa.Table) -> pa.Table:
-        found = words(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
+        found = words(table.column("doc_id").to_pylist(), unpacked(table))
         block = table.column("block")[0].as_py()
         return pa.table([pa.array([block] * len(found), pa.int32()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["block", "word", "n"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_word, in_blocks, meet, name_words
+from .blocks import by_word, in_blocks, meet, name_words, unpacked
 from .common import id_and_text
 from .pretokens import splitter
 
@@ -137,7 +137,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
             found.update(split(t))
         return {b: 0 for w in found if len(b := w.encode("utf-8")) <= fold_limit}
 
-    known = by_word(name_words(blocked, words)).select("blocks", "word", encode_column(F.col("word"), ranks).alias("ids"))
+    known = by_word(name_words(blocked, words)).select("blocks", encode_column(F.col("word"), ranks).alias("ids"))
 
     def documents(table: pa.Table, encoded: pa.Table) -> pa.Table:
         split, (every, pieces) = splitter(pattern), _decoder(shared.value)
@@ -145,12 +145,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
         ids_column = encoded.column("ids").combine_chunks()
         flat, offsets = ids_column.flatten().to_numpy().astype("<u4"), ids_column.offsets.to_numpy() if len(ids_column) else []
         start = offsets[0] if len(offsets) else 0
-        for k, w in enumerate(encoded.column("word").to_pylist()):
+        for k in range(len(encoded)):
             own = flat[offsets[k] - start : offsets[k + 1] - start]
-            w = w.decode("utf-8")
-            of[w], back[w] = own.tobytes(), b"".join([pieces[i] for i in own])
+            word = b"".join([pieces[i] for i in own])  # the ids alone say which word they are of
+            of[w := word.decode("utf-8")], back[w] = own.tobytes(), word
         ids, decoded = [], []
-        for t in table.column("text").to_pylist():
+        for t in unpacked(table):
             parts = split(t)
             for w in parts:
                 if w not in of:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_word, in_blocks, meet
+from .blocks import by_word, in_blocks, meet, unpacked
 from .common import arrow_map, durable, id_and_text
 
 #: The end symbol among words: no word of a text holds white space.
@@ -183,7 +183,7 @@ def score_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
         base = np.log10((n + 0.5) / (n_all + 0.5 * (distinct + 1)))
         logp = scored.column("logp").to_numpy()
         out: list[list] = [[], [], [], []]
-        for t in table.column("text").to_pylist():
+        for t in unpacked(table):
             k = np.fromiter((at[w] for w in (*words_of(t), END)), np.int64)
             for column, value in zip(out, (len(k), int((n[k] > 0).sum()), math.fsum(base[k]), math.fsum(logp[k])), strict=True):
                 column.append(value)
@@ -208,7 +208,7 @@ def _name(table: pa.Table) -> pa.Table:
     """Distinct words of a block, with their counts in its training texts."""
     counts: Counter = Counter()
     others: set[bytes] = set()
-    for t, held in zip(table.column("text").to_pylist(), table.column("held_out").to_pylist(), strict=True):
+    for t, held in zip(unpacked(table), table.column("held_out").to_pylist(), strict=True):
         (others if held else counts).update(words_of(t))
         (others if held else counts).update((END,))
     found = {**dict.fromkeys(others, 0), **counts}
