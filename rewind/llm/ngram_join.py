@@ -13,10 +13,12 @@ Equal texts are one class from the start. Every other pair is found by signature
   sets would share, are left out unless more than d groups have one; d follows from the band.
 
 Sets that share a signature meet in its bucket. Buckets of the same members are one. In
-rounds, a few leaders of each bucket are compared exactly with its other members, where they
-are not yet in one component; components are contracted; buckets within one component, and
-leaders that are done, go. So a group of n near copies costs about n comparisons, not n * n,
-and no link between different components is ever lost: it ends when no bucket has two.
+rounds, a few leaders of each bucket (1, then 64, then 64 times as many) meet its other
+members, where they are not yet in one component. Parity sketches, whose distance bounds the
+symmetric difference from below, dismiss most pairs; the others are compared exactly.
+Components are contracted; buckets within one component, and leaders that are done, go. So
+near copies that one of them links cost one comparison each, and no link between different
+components is ever lost: it ends when no bucket has two.
 
 Words are split at ASCII white space, A-Z in lower case; a text with fewer words than the
 width has its whole sequence as the one shingle; a null or empty text, or one without words,
@@ -41,6 +43,7 @@ from .lattice_lm import words_of
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BITMAP_WORDS = 1 << 16
+SKETCH = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -166,11 +169,22 @@ def _signed(width: int, percent: int):
     return sign
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """SKETCH bits: of the elements hashed to each whether they are odd in number.
+
+    An element in one of two sets only flips one bit, so the sketches of two sets differ in
+    at most as many bits as the sets differ in elements.
+    """
+    place = (mix(h + ODD) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(width: int):
     def sets(batches):
         for ids, texts in text_blocks(batches):
             for at in range(0, len(ids), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 64], pa.int64()), pa.array([shingles(t, width).tobytes() for t in texts[at : at + 64]], pa.binary())], ["doc", "set"])
+                own = [shingles(t, width) for t in texts[at : at + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 64], pa.int64()), pa.array([len(h) for h in own], pa.int64()), pa.array([sketch(h) for h in own], pa.list_(pa.int64())), pa.array([h.tobytes() for h in own], pa.binary())], ["doc", "size", "sketch", "set"])
 
     return sets
 
@@ -206,23 +220,28 @@ def near_classes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc, comp) of those documents of an id_and_text table that share a bucket; comp: of linked ones alike."""
     signed = arrow_map(texts, _signed(width, percent), "sig long, doc long")
     bucket = Window.partitionBy("sig")
-    met = signed.select("sig", "doc", F.count("*").over(bucket).alias("n"), F.min("doc").over(bucket).alias("least"), F.max("doc").over(bucket).alias("most"), F.bit_xor(F.xxhash64("doc")).over(bucket).alias("members")).filter("least < most")
-    met = durable(met)
+    met = durable(signed.select("sig", "doc", F.count("*").over(bucket).alias("n"), F.min("doc").over(bucket).alias("least"), F.max("doc").over(bucket).alias("most"), F.bit_xor(F.xxhash64("doc")).over(bucket).alias("members")).filter("least < most"))
     alike = met.groupBy("least", "n", "members").agg(F.min("sig").alias("sig"))
-    rows = durable(met.join(alike.select("sig"), "sig", "left_semi").select("sig", "doc").distinct())
+    kept = met.join(alike.select("sig"), "sig", "left_semi").select("sig", "doc", "n").distinct()
+    # Whoever meets the most others leads its buckets: of near copies, the one most like the rest.
+    reach = kept.groupBy("doc").agg(F.sum("n").alias("reach"))
+    rows = durable(kept.join(reach, "doc").select("sig", "doc", "reach"))
 
     nodes = durable(rows.select("doc").distinct().withColumn("comp", F.col("doc")))
-    sets = durable(arrow_map(_only(texts, nodes), _sets(width), "doc long, set binary"))
+    sets = durable(arrow_map(_only(texts, nodes), _sets(width), "doc long, size long, sketch array<long>, set binary"))
+    bits = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH // 64))
+    # Exact in that it holds for every link: sketches and sizes differ less than the sets may.
+    near = F.expr(f"{bits} <= ({100 - percent} * (x.size + y.size)) div {100 + percent} AND 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)")
     seen = None
     leaders = 1
     while True:
         placed = rows.join(nodes, "doc")
-        live = placed.select("*", F.min("comp").over(bucket).alias("c0"), F.max("comp").over(bucket).alias("c1"), F.count("*").over(bucket).alias("size"), F.row_number().over(bucket.orderBy("doc")).alias("rank")).filter("c0 <> c1")
-        rows = durable(live.withColumn("leads", (F.col("rank") <= leaders) | (F.lit(leaders > 1) & (F.col("size") <= 16))).select("sig", "doc", "comp", "leads"))
+        live = placed.select("*", F.min("comp").over(bucket).alias("c0"), F.max("comp").over(bucket).alias("c1"), F.row_number().over(bucket.orderBy(F.desc("reach"), "doc")).alias("rank")).filter("c0 <> c1")
+        rows = durable(live.withColumn("leads", F.col("rank") <= leaders).select("sig", "doc", "reach", "comp", "leads"))
         if rows.isEmpty():
             return nodes
-        first = rows.filter("leads").select("sig", F.col("doc").alias("x"), F.col("comp").alias("cx"))
-        pairs = first.join(rows, "sig").filter("x <> doc and cx <> comp").select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
+        marked = rows.join(sets.select("doc", "size", "sketch"), "doc")
+        pairs = marked.filter("leads").alias("x").join(marked.alias("y"), "sig").filter(near & F.expr("x.doc <> y.doc AND x.comp <> y.comp")).select(F.expr("least(x.doc, y.doc)").alias("a"), F.expr("greatest(x.doc, y.doc)").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         whole = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
@@ -231,8 +250,8 @@ def near_classes(texts: DataFrame, width: int, percent: int) -> DataFrame:
         of = lambda side: nodes.select(F.col("doc").alias(side), F.col("comp").alias(f"c{side}"))
         links = judged.filter("linked").join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         nodes = contract(nodes, links)
-        rows = rows.filter("not leads").select("sig", "doc")
-        leaders *= 2
+        rows = rows.filter("not leads").select("sig", "doc", "reach")
+        leaders *= 64
 
 
 def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
