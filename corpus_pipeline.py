@@ -2,6 +2,8 @@
 
 Each stage works on all that its predecessor kept. All but the last return the columns of
 documents; a stage's result is written as Parquet and read again as the next one's input.
+Null texts have no words and go at the quality rules, as do empty ones; rows without an id
+go at the first stage; extra columns are left behind there.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewind.llm import pii
-from rewind.llm.common import arrow_map, checkpoint_folder, documents
+from rewind.llm.common import arrow_map, checkpoint_folder, documents, durable
 from rewind.llm.ngram_join import ngram_components
 from rewind.llm.packing import pack, piece_digests
-from rewind.llm.quality import quality_verdicts
+from rewind.llm.quality import ledger, verdicts
 from rewind.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,7 +38,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules of policy v1 keep."""
-    return _keep(docs, quality_verdicts(docs, policy="v1").filter("kept"))
+    # The ledger is stored before a policy filters it: a filter would be pushed below the
+    # measurements and have each of them worked out once per mention.
+    book = durable(ledger(docs).select("doc_id", "fail_bits"))
+    return _keep(docs, verdicts(book, policy="v1").filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
