@@ -26,6 +26,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,12 @@ from .common import arrow_map, id_and_text, text_blocks
 LEXICONS, LEXICON_SIZE, CELLS = 16, 256, 1 << 18
 #: A lexicon feature is so many times as frequent in toxic texts as in clean ones.
 MIN_RATIO = 20
+#: Counts of hit words that have cells of their own.
+HIT_CELLS = tuple((k, zlib.crc32(b"\0hits%d" % k) % CELLS) for k in (1, 2, 3, 5))
 _words = re.compile(r"[^\W\d_]+").findall
 
 
+@lru_cache(maxsize=300_000)
 def word_features(word: str) -> tuple[str, ...]:
     """A word and its stems."""
     return (word, *(f"{word[:k]}~" for k in (4, 5, 6, 7) if len(word) > k))
@@ -77,9 +81,7 @@ class Reader:
             if typical:
                 hit_words += n
                 hits.update(typical)
-        for k in (1, 2, 3, 5):
-            if hit_words >= k:
-                cells.add(zlib.crc32(b"\0hits%d" % k) % CELLS)
+        cells.update(c for k, c in HIT_CELLS if hit_words >= k)
         lexicons = {self.lexicon[f] for f in hits}
         votes = [int(k in lexicons) for k in range(LEXICONS)]
         n = len(every)
@@ -88,7 +90,42 @@ class Reader:
         return cells, votes
 
 
-def learn_lexicon(train: DataFrame) -> dict[str, int]:
+class Scorer:
+    """The linear model over texts: the cells of Reader.read, of which only those with a weight are looked at."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, tuple[tuple[int, ...], bool]] = {}
+
+    def word(self, w: str) -> tuple[tuple[int, ...], bool]:
+        found = self.known.get(w)
+        if found is None:
+            features = word_features(w)
+            cells = (zlib.crc32(f.encode("utf-8")) % CELLS for f in features)
+            found = tuple(c for c in cells if c in self.model.weights), any(f in self.model.lexicon for f in features)
+            if len(self.known) >= 300_000:
+                self.known.clear()
+            self.known[w] = found
+        return found
+
+    def score(self, text: str) -> float:
+        if self.model.bias is None:
+            return 0.0
+        cells: set[int] = set()
+        hit_words = 0
+        for w, n in Counter(_words(text.lower())).items():
+            own, typical = self.word(w)
+            if own:
+                cells.update(own)
+            if typical:
+                hit_words += n
+        weights = self.model.weights
+        cells.update(c for k, c in HIT_CELLS if hit_words >= k and c in weights)
+        pull = math.fsum(weights[c] for c in cells) + self.model.bias
+        return 1 / (1 + math.exp(-pull)) if pull > -500 else 0.0
+
+
+def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int]:
     """feature -> lexicon, from document counts by label over all of train (doc_id, text, toxic)."""
 
     def count(batches):
@@ -100,12 +137,9 @@ def learn_lexicon(train: DataFrame) -> dict[str, int]:
         names = list(clean | toxic)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([clean[f] for f in names], pa.int64())], ["feature", "toxic", "clean"])
 
-    sizes = train.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1))).first()
-    if not sizes[0] or not sizes[1]:
-        return {}
     counts = arrow_map(train, count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = F.log(((F.col("toxic") + 0.5) / sizes[0]) / ((F.col("clean") + 0.5) / sizes[1]))
-    best = counts.filter(F.col("toxic") >= max(4, 0.004 * sizes[0])).withColumn("ratio", ratio).filter(F.col("ratio") > math.log(MIN_RATIO)).orderBy(F.desc(F.col("toxic") * F.col("ratio")), F.desc("feature")).limit(4 * LEXICON_SIZE)
+    ratio = F.log(((F.col("toxic") + 0.5) / n_toxic) / ((F.col("clean") + 0.5) / n_clean))
+    best = counts.filter(F.col("toxic") >= max(4, 0.004 * n_toxic)).withColumn("ratio", ratio).filter(F.col("ratio") > math.log(MIN_RATIO)).orderBy(F.desc(F.col("toxic") * F.col("ratio")), F.desc("feature")).limit(4 * LEXICON_SIZE)
     kept: dict[str, tuple[int, int]] = {}
     for f, toxic, clean, _ in best.collect():
         stem = f.rstrip("~")
@@ -175,12 +209,13 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_fold: int = 2, max_train_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the labelled rows outside the held-out fold."""
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(folds, held_fold))
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(folds, held_fold))
     train = id_and_text(docs, id_col, text_col).join(marks, "doc_id").select("doc_id", "text", "toxic")
-    lexicon = learn_lexicon(train)
+    n_toxic, n_clean = train.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1))).first()
+    lexicon = learn_lexicon(train, n_toxic, n_clean) if n_toxic and n_clean else {}
     if not lexicon:
         return Model({}, {}, None)
-    n, toxic = train.agg(F.count("*"), F.avg("toxic")).first()
+    n = n_toxic + n_clean
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON_SIZE features
 
     def read(batches):
@@ -195,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_fold: int =
     if not rows.num_rows:
         return Model({}, {}, None)
     votes = np.asarray(rows.column("votes").to_pylist(), float)
-    posterior = label_model(votes, float(np.clip(toxic, 0.01, 0.99)))
+    posterior = label_model(votes, float(np.clip(n_toxic / n, 0.01, 0.99)))
     cells = rows.column("cells").combine_chunks()
     if isinstance(cells, pa.ChunkedArray):
         cells = pa.concat_arrays(cells.chunks)
@@ -209,13 +244,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON_SIZE features and CELLS weights
 
     def scored(batches):
-        m = shared.value
-        reader, weight = Reader(m.lexicon), m.weights.get
+        scorer = Scorer(shared.value)
         for ids, texts in text_blocks(batches):
-            out = []
-            for t in texts:
-                pull = math.fsum([weight(c, 0.0) for c in sorted(reader.read(t)[0])]) + m.bias if m.bias is not None else -math.inf
-                out.append(1 / (1 + math.exp(-pull)) if pull > -500 else 0.0)
+            out = [scorer.score(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.float64()), pa.array([int(s >= threshold) for s in out], pa.int32())], ["doc_id", "score", "predicted"])
 
     return arrow_map(id_and_text(docs, id_col, text_col), scored, "doc_id long, score double, predicted int")
