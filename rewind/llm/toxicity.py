@@ -90,35 +90,42 @@ class Reader:
         return cells, votes
 
 
+class Weighted(dict):
+    """word -> (cells with a weight, is it a hit), or () for a word with neither; bounded."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.lexicon, self.weights = model.lexicon, model.weights
+
+    def __missing__(self, w: str):
+        features = word_features.__wrapped__(w)
+        cells = tuple([c for c in [zlib.crc32(f.encode("utf-8")) % CELLS for f in features] if c in self.weights])
+        typical = not self.lexicon.keys().isdisjoint(features)
+        if len(self) >= 300_000:
+            self.clear()
+        self[w] = found = (cells, typical) if cells or typical else ()
+        return found
+
+
 class Scorer:
     """The linear model over texts: the cells of Reader.read, of which only those with a weight are looked at."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[str, tuple[tuple[int, ...], bool]] = {}
-
-    def word(self, w: str) -> tuple[tuple[int, ...], bool]:
-        found = self.known.get(w)
-        if found is None:
-            features = word_features(w)
-            cells = (zlib.crc32(f.encode("utf-8")) % CELLS for f in features)
-            found = tuple(c for c in cells if c in self.model.weights), any(f in self.model.lexicon for f in features)
-            if len(self.known) >= 300_000:
-                self.known.clear()
-            self.known[w] = found
-        return found
+        self.model, self.known = model, Weighted(model)
 
     def score(self, text: str) -> float:
         if self.model.bias is None:
             return 0.0
         cells: set[int] = set()
         hit_words = 0
-        for w, n in Counter(_words(text.lower())).items():
-            own, typical = self.word(w)
-            if own:
-                cells.update(own)
-            if typical:
-                hit_words += n
+        counts = Counter(_words(text.lower()))
+        known = self.known
+        for w in counts:
+            found = known[w]
+            if found:
+                cells.update(found[0])
+                if found[1]:
+                    hit_words += counts[w]
         weights = self.model.weights
         cells.update(c for k, c in HIT_CELLS if hit_words >= k and c in weights)
         pull = math.fsum(weights[c] for c in cells) + self.model.bias
