@@ -133,12 +133,15 @@ def test_toxicity(spark, odd, real, empty):
     none = labels.filter("false")
     assert all(r.score == 0 for r in toxicity.toxicity(odd, none).collect())
     assert toxicity.toxicity(empty, labels).count() == 0
+
+
+def test_scorer_agrees_with_reader():
     # The scorer looks only at cells with a weight; the reader gives all of them.
     reader = toxicity.Reader({"grim": 0, "grim~": 1})
-    texts = ["", "a grim and grimmest day", "Grim grim grim grim grim", "plain words only"]
-    every = sorted({c for t in texts for c in reader.read(t)[0]})
+    samples = ["", "a grim and grimmest day", "Grim grim grim grim grim", "plain words only"]
+    every = sorted({c for t in samples for c in reader.read(t)[0]})
     model = toxicity.Model(reader.lexicon, {c: (-1) ** k * 0.1 * k for k, c in enumerate(every[::2], 1)}, -0.5)
-    for t in texts:
+    for t in samples:
         pull = sum(model.weights.get(c, 0.0) for c in reader.read(t)[0]) + model.bias
         assert abs(toxicity.Scorer(model).score(t) - 1 / (1 + np.exp(-pull))) < 1e-12
 
