@@ -18,6 +18,18 @@ def before_lsn(log: DataFrame, lsn: int) -> DataFrame:
     return live_state(log.filter(F.col("id") < lsn))
 
 
+def newest_deletes(log: DataFrame) -> DataFrame:
+    """(table_name, target): the newest delete of each table that has one."""
+    marks = log.select("id", F.col("op").alias("tag"), F.col("table_name").alias("object_identity"), F.col("id").alias("snapshot_lsn"))
+    return destructive_lsn(marks, ("D",)).select(F.col("object").alias("table_name"), F.col("lsn").alias("target"))
+
+
+def split_at(log: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes before each table's target, and those from it on; a table without a target is whole in the first."""
+    marked = log.join(F.broadcast(targets), "table_name", "left").withColumn("past", F.coalesce(F.col("id") >= F.col("target"), F.lit(False)))
+    return tuple(marked.filter(c).drop("target", "past") for c in ("not past", "past"))
+
+
 def recover_rows(live: DataFrame, snapshot: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Live rows and those of the snapshot whose key is missing: later writes win."""
     return live.unionByName(snapshot.join(live, list(key), "left_anti").select(live.columns))

@@ -291,6 +291,34 @@ def recover_column(spark, sf):
     return longs(timetravel.recover_column(undo.live_state(v), timetravel.before_lsn(v, 600)))
 
 
+# The point of recovery from the log itself: just before the newest delete of each table.
+DELETED = "cut AS (SELECT table_name, max(id) AS target FROM vlog WHERE op = 'D' GROUP BY 1)"
+PAST = "coalesce(id >= (SELECT target FROM cut WHERE cut.table_name = vlog.table_name), false)"
+CUT = f"{V}, {DELETED}, snap AS {STATE.format(f'NOT {PAST}')}, lv AS {STATE.format(PAST)}"
+
+
+def _split(spark, sf):
+    v = replay_log(spark, sf)
+    return v, *timetravel.split_at(v, timetravel.newest_deletes(v))
+
+
+@query(f"{CUT} {OUT} snap")
+def recover_table_before_delete(spark, sf):
+    return longs(undo.live_state(_split(spark, sf)[1]))
+
+
+@query(f"{CUT} {OUT} (SELECT * FROM lv UNION ALL SELECT * FROM snap WHERE NOT EXISTS (SELECT 1 FROM lv WHERE lv.user_id = snap.user_id AND lv.k = snap.k))")
+def recover_rows_before_delete(spark, sf):
+    _, before, past = _split(spark, sf)
+    return longs(timetravel.recover_rows(undo.live_state(past), undo.live_state(before)))
+
+
+@query(f"{CUT}, {LIVE} {OUT} (SELECT live.user_id, live.k, snap.v FROM live LEFT JOIN snap ON live.user_id = snap.user_id AND live.k = snap.k)")
+def recover_column_before_delete(spark, sf):
+    v, before, _ = _split(spark, sf)
+    return longs(timetravel.recover_column(undo.live_state(v), undo.live_state(before)))
+
+
 @query("SELECT e.event_id AS target_lsn, (SELECT max(s.event_id) FROM events s WHERE s.event_id % 250 = 0 AND s.event_id % 3 <> 1 AND s.event_id <= e.event_id) AS snapshot_id FROM events e WHERE event_type = 'error'")
 def pick_snapshot(spark, sf):
     e = table(spark, sf, "events")
