@@ -6,21 +6,24 @@ digits and `._%+@-` of four characters or more that hold a digit or an @ (any ot
 outside by definition). Potentials:
 
 * a node's shape and surroundings,
-* transitions between candidates that follow each other closely,
-* skip edges from a candidate to the last equal one and to the last of equal shape, at any
-  distance, which share a potential for equal labels.
-
-Nodes inside base spans are observed. Loopy message passing (sum-product, damped, at most
-`ROUNDS` rounds) gives the marginals of the others, so that evidence at one mention, such as
-an assignment to a word like "token", labels the mentions without it. An unobserved node
-whose likeliest label is not "outside" and has at least `CONFIDENT` of the marginal becomes
-a span of that kind.
+* transitions between candidates that follow each other closely, once for each two tokens,
+* skip edges, at any distance, which share a potential for equal labels: from each mention
+  of a repeated token to one node of that token, and from a token to the last of equal shape.
+
+The node of a repeated token holds the evidence of its shape and of the surroundings of all
+its mentions, each feature once, so that many like mentions don't outvote one. Nodes inside base spans are observed. Loopy message passing
+(sum-product, damped, until no message moves, and for longer than the longest path) gives
+the marginals of the others, so that evidence at one mention, such as an assignment to a
+word like "token", labels the mentions without it, however many. An unobserved node whose
+likeliest label is not "outside" and has at least `CONFIDENT` of the marginal becomes a span
+of that kind.
 
 The field is trained by pseudo-likelihood on silver labels (base patterns, and assignments
-to a word for a secret) of at most about `max_train_docs` texts drawn by a hash of the id;
-context features are hidden in half of the training nodes, so that shapes and skip edges
-learn to stand alone. Messages of a text with n candidates take time in n: each node has at
-most six edges.
+to a word for a secret, which hold for each mention of the secret) of at most about
+`max_train_docs` texts drawn by a hash of the id;
+context features are hidden in half of the training nodes, so that shapes learn to stand
+alone, and the potential of token nodes comes from how often mentions agree with theirs. A
+text with n candidates has at most 3 n edges; a round of messages takes time in n.
 
 Nulls and empty texts hold nothing; repeated rows each give a row; without any candidate in
 the drawn texts only base spans are given; an empty table gives an empty table; extra
@@ -29,7 +32,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,7 @@ from .common import arrow_map, id_and_text, text_blocks
 
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("outside", *BASE, "secret")
-ROUNDS, CONFIDENT, NEAR = 8, 0.6, 24
+CONFIDENT, NEAR, STILL = 0.6, 24, 1e-3
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _token = _local | {"@"}
@@ -138,7 +143,7 @@ def shape(token: str) -> str:
 
 
 class Graph:
-    """Candidates of a text, their features, observed labels and edges (later, earlier, kind)."""
+    """Candidates of a text and, after them, a node for each repeated token; features, observed labels and edges (later, earlier, kind)."""
 
     def __init__(self, text: str, base: list[tuple[str, int, int]] | None = None):
         self.base = base_spans(text) if base is None else base
@@ -152,23 +157,45 @@ class Graph:
                 k += 1
             own = [t for t in taken[k : k + 4] if t[0] < e and t[1] > s]
             self.observed.append(own[0][2] if own else -1)
-        same: dict[str, int] = {}
+        tokens = [text[s:e].lower() for s, e in self.spans]
+        mentions = Counter(tokens)
+        self.token_of = [-1] * len(tokens)  # a mention's token node
+        node: dict[str, int] = {}
         alike: dict[str, int] = {}
         self.edges = []
-        for i, (s, e) in enumerate(self.spans):
-            if i and s - self.spans[i - 1][1] <= NEAR:
+        own, follows = [], set()
+        for i, ((s, e), token) in enumerate(zip(self.spans, tokens, strict=True)):
+            if i and s - self.spans[i - 1][1] <= NEAR and tokens[i - 1] != token and (tokens[i - 1], token) not in follows:
                 self.edges.append((i, i - 1, 0))
-            token = text[s:e].lower()
-            if token in same:
-                self.edges.append((i, same[token], 1))
-            look = shape(token)
-            if look in alike and e - s >= 12 and alike[look] != same.get(token):
-                self.edges.append((i, alike[look], 2))
-            same[token] = alike[look] = i
+                follows.add((tokens[i - 1], token))
+            if token not in node:
+                node[token] = i
+                if mentions[token] > 1:
+                    node[token] = len(tokens) + len(own)
+                    own.append(i)
+                look = shape(token)
+                if look in alike and e - s >= 12:
+                    self.edges.append((node[token], alike[look], 2))
+                alike[look] = node[token]
+            if mentions[token] > 1:
+                self.token_of[i] = node[token]
+                self.edges.append((node[token], i, 1))
+        # A repeated token's features are on in its node if they are at any mention.
+        place = np.array(self.token_of, int).reshape(-1)
+        self.node_x = np.vstack([self.x, np.zeros((len(own), len(FEATURES)))])
+        np.maximum.at(self.node_x, place[place >= 0], self.x[place >= 0])
+        self.node_x[: len(place)][place >= 0] = 0
 
     def silver(self) -> np.ndarray:
-        """Labels by the base patterns and by assignment."""
-        return np.array([o if o > 0 else 5 if x[1] and x[15] + x[14] > 0 else 0 for o, x in zip(self.observed, self.x, strict=True)], int)
+        """Labels of all nodes by the base patterns and by assignment, which holds for each mention."""
+        y = [o if o > 0 else 5 if x[1] and x[15] + x[14] > 0 else 0 for o, x in zip(self.observed, self.x, strict=True)]
+        of: dict[int, Counter] = {}
+        for t, k in zip(self.token_of, y, strict=True):
+            if t >= 0:
+                of.setdefault(t, Counter())[k] += 1
+        named = {t: 5 if c[5] else min(c, key=lambda k: (-c[k], k)) for t, c in of.items()}
+        y = [5 if k == 0 and named.get(t) == 5 else k for t, k in zip(self.token_of, y, strict=True)]
+        return np.array(y + [named[t] for t in sorted(named)], int)
 
 
 class Field:
@@ -181,8 +208,9 @@ class Field:
         return self.chain if kind == 0 else np.diag(self.agree[kind - 1])
 
     def marginals(self, g: Graph) -> np.ndarray:
+        """Of each candidate."""
         n, m = len(g.spans), len(LABELS)
-        score = g.x @ self.unary
+        score = g.node_x @ self.unary
         for i, o in enumerate(g.observed):
             if o >= 0:
                 score[i] = np.where(np.arange(m) == o, 0.0, -30.0)
@@ -190,7 +218,8 @@ class Field:
             later, earlier, kind = map(np.array, zip(*g.edges, strict=True))
             potential = np.exp(np.stack([self.pair(k) for k in range(3)]))[kind]  # edge, earlier, later
             down, up = np.zeros((len(later), m)), np.zeros((len(later), m))
-            for _ in range(ROUNDS):
+            # Damped messages take two rounds an edge; no path is longer than the number of nodes.
+            for _ in range(2 * len(score) + 50):
                 belief = score.copy()
                 np.add.at(belief, later, down)
                 np.add.at(belief, earlier, up)
@@ -202,10 +231,11 @@ class Field:
                 new_up -= new_up.max(axis=1, keepdims=True)
                 moved = max(np.abs(new_down - down).max(), np.abs(new_up - up).max())
                 down, up = (down + new_down) / 2, (up + new_up) / 2
-                if moved < 1e-3:
+                if moved < STILL:
                     break
             np.add.at(score, later, down)
             np.add.at(score, earlier, up)
+        score = score[:n]
         p = np.exp(score - score.max(axis=1, keepdims=True)) if n else score
         return p / p.sum(axis=1, keepdims=True)
 
@@ -218,31 +248,33 @@ def training_rows(text: str) -> list[tuple[list[float], int, list[float]]]:
     for i, j, kind in g.edges:
         for node, other, block in ((i, j, 0 if kind == 0 else kind + 1), (j, i, 1 if kind == 0 else kind + 1)):
             around[node, block * m + y[other]] += 1
-    return [(list(x), int(k), list(a)) for x, k, a in zip(g.x, y, around, strict=True)]
+    return [(list(x), int(k), list(a)) for x, k, a in zip(g.x, y, around, strict=False)]  # token nodes come after the candidates
 
 
 def fit_field(x: np.ndarray, y: np.ndarray, around: np.ndarray, rounds: int = 400, ridge: float = 1e-3, seed: int = 3) -> Field:
-    """Pseudo-likelihood by gradient steps; context features hidden in half of the rows."""
+    """Pseudo-likelihood by gradient steps, context features hidden in half of the rows; the potential of token nodes from how often mentions agree with theirs."""
     m = len(LABELS)
     hide = np.random.default_rng(seed).random(len(x)) < 0.5
     x = x.copy()
     x[np.ix_(hide, CONTEXT)] = 0
     weight = 1 / np.maximum(np.bincount(y, minlength=m), 1)[y] ** 0.5
     weight /= weight.sum()
-    unary, chain, agree = np.zeros((x.shape[1], m)), np.zeros((m, m)), np.zeros((2, m))
+    unary, chain, agree = np.zeros((x.shape[1], m)), np.zeros((m, m)), np.zeros(m)
     before, after, same, alike = (around[:, k * m : (k + 1) * m] for k in range(4))
     size = [np.full(a.shape, 1e-8) for a in (unary, chain, agree)]
     for _ in range(rounds):
-        score = x @ unary + before @ chain + after @ chain.T + same * agree[0] + alike * agree[1]
+        score = x @ unary + before @ chain + after @ chain.T + alike * agree
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p *= weight[:, None]
-        steps = (x.T @ p + ridge * unary, before.T @ p + p.T @ after + ridge * chain, np.stack([(same * p).sum(axis=0), (alike * p).sum(axis=0)]) + ridge * agree)
+        steps = (x.T @ p + ridge * unary, before.T @ p + p.T @ after + ridge * chain, (alike * p).sum(axis=0) + ridge * agree)
         for a, g, s in zip((unary, chain, agree), steps, size, strict=True):
             s += g * g
             a -= 0.3 * g / np.sqrt(s)
-    return Field(unary, chain, (np.maximum(agree[0], 0), np.maximum(agree[1], 0)))
+    equal, all_same = same[np.arange(len(y)), y].sum(), same.sum()
+    tie = math.log((equal + 0.5) / ((all_same - equal) / (m - 1) + 0.5))
+    return Field(unary, chain, (np.full(m, max(tie, 0.0)), np.maximum(agree, 0)))
 
 
 def fit(docs: DataFrame, *, max_train_docs: int = 20_000, max_nodes: int = 64, id_col: str = "doc_id", text_col: str = "text") -> Field | None:

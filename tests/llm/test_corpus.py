@@ -184,6 +184,22 @@ def test_skip_edges_carry_labels():
     assert secret not in pii.redact(text, field)
 
 
+@pytest.mark.parametrize("between", [" ", " filler words that keep the mentions well apart "])
+def test_one_assignment_labels_all_mentions(between):
+    rng = random.Random(4)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    train = []
+    for k in range(300):
+        s = hexes()
+        train += pii.training_rows(f"key: '{s}' then {s} and id {rng.randint(10**5, 10**9)}" if k % 3 == 0 else f"see commit {s} then {s} and id {rng.randint(10**5, 10**9)}")
+    field = pii.fit_field(*(np.array(c, float if k != 1 else int) for k, c in enumerate(zip(*train, strict=True))))
+    token = "9f" * 20
+    rest = between.join([token] * 29)
+    assert pii.find(rest, field) == []
+    for text in (f"key: '{token}'{between}{rest}", f"{rest}{between}key: '{token}'"):
+        assert pii.find(text, field) == [("secret", m.start(), m.end()) for m in re.finditer(token, text)]
+
+
 def test_tiff(odd, empty):
     rng = random.Random(2)
     for n in (64, 640, 64 * 1024 * 3 + 64):
