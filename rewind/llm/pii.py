@@ -20,7 +20,8 @@ of that kind.
 
 The field is trained by pseudo-likelihood on silver labels (base patterns, and assignments
 to a word for a secret, which hold for each mention of the secret) of at most about
-`max_train_docs` texts drawn by a hash of the id;
+`max_train_docs` texts drawn by a hash of the id; at most `max_nodes` candidates of a text, drawn by a hash of text and
+position;
 context features are hidden in half of the training nodes, so that shapes learn to stand
 alone, and the potential of token nodes comes from how often mentions agree with theirs. A
 text with n candidates has at most 3 n edges; a round of messages takes time in n.
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -174,7 +176,7 @@ class Graph:
                     node[token] = len(tokens) + len(own)
                     own.append(i)
                 look = shape(token)
-                if look in alike and e - s >= 12:
+                if look in alike:
                     self.edges.append((node[token], alike[look], 2))
                 alike[look] = node[token]
             if mentions[token] > 1:
@@ -251,6 +253,13 @@ def training_rows(text: str) -> list[tuple[list[float], int, list[float]]]:
     return [(list(x), int(k), list(a)) for x, k, a in zip(g.x, y, around, strict=False)]  # token nodes come after the candidates
 
 
+def drawn_rows(text: str, most: int) -> list[tuple[list[float], int, list[float]]]:
+    """At most so many training rows of a text, drawn by a hash of text and position."""
+    rows, seed = training_rows(text), zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    order = sorted(range(len(rows)), key=lambda k: (zlib.crc32(b"%d" % k, seed), k))
+    return [rows[k] for k in sorted(order[:most])]
+
+
 def fit_field(x: np.ndarray, y: np.ndarray, around: np.ndarray, rounds: int = 400, ridge: float = 1e-3, seed: int = 3) -> Field:
     """Pseudo-likelihood by gradient steps, context features hidden in half of the rows; the potential of token nodes from how often mentions agree with theirs."""
     m = len(LABELS)
@@ -285,7 +294,7 @@ def fit(docs: DataFrame, *, max_train_docs: int = 20_000, max_nodes: int = 64, i
 
     def rows(batches):
         for _, block in text_blocks(batches):
-            found = [r for t in block for r in training_rows(t)[:max_nodes]]
+            found = [r for t in block for r in drawn_rows(t, max_nodes)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.list_(pa.float32())), pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found], pa.list_(pa.float32()))], ["x", "y", "around"])
 
     drawn = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)

@@ -200,6 +200,17 @@ def test_one_assignment_labels_all_mentions(between):
         assert pii.find(text, field) == [("secret", m.start(), m.end()) for m in re.finditer(token, text)]
 
 
+def test_short_alike_tokens_share_an_edge():
+    assert [k for _, _, k in pii.Graph("AB12 and, after words that part them, CD34").edges] == [2]
+
+
+def test_training_draws_from_all_of_a_long_text():
+    text = " ".join(f"n{10000 + k}" for k in range(500)) + " token = '" + "9f" * 20 + "'" + "".join(f" +{10**10 + k} and" for k in range(200))
+    rows = pii.drawn_rows(text, 64)
+    assert len(rows) == 64 and rows == pii.drawn_rows(text, 64) and any(r[1] for r in rows)
+    assert pii.drawn_rows(text, 10_000) == pii.training_rows(text)
+
+
 def test_tiff(odd, empty):
     rng = random.Random(2)
     for n in (64, 640, 64 * 1024 * 3 + 64):
