@@ -23,7 +23,7 @@ components is ever lost: it ends when no bucket has two.
 Words are split at ASCII white space, A-Z in lower case; a text with fewer words than the
 width has its whole sequence as the one shingle; a null or empty text, or one without words,
 has none and is linked with nothing. Sets are of 64-bit hashes. Repeated rows each give a row
-(the same id is one node); an empty table gives an empty table; extra columns are ignored.
+(the same id is one node, linked by each of its texts); an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -257,13 +257,22 @@ def near_classes(texts: DataFrame, width: int, percent: int) -> DataFrame:
 def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     texts = id_and_text(docs, id_col, text_col)
-    marks = texts.select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).substr(1, 16).alias("s"), F.octet_length("text").alias("len"), F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")).alias("worded"))
-    # A text's class: its least id; only that document goes on.
-    least = marks.filter("worded and doc_id is not null").groupBy("h", "s", "len").agg(F.min("doc_id").alias("rep"))
-    classes = durable(marks.filter("worded and doc_id is not null").join(least, ["h", "s", "len"]).select("doc_id", "rep"))
-    distinct = texts.join(classes.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(texts) else texts.join(classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    repeats = _repeats(texts)
+    text_class = [F.xxhash64("text").alias("h"), F.sha2("text", 256).substr(1, 16).alias("s"), F.octet_length("text").alias("len")]
+    worded = texts.filter(F.col("doc_id").isNotNull() & F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    marks = worded.select("doc_id", *text_class)
+    # A text's class: its least id; only that document goes on. Where an id has several texts, classes are numbered instead.
+    least = marks.groupBy("h", "s", "len").agg(F.min("doc_id").alias("rep"))
+    least = durable(least.withColumn("node", F.monotonically_increasing_id())) if repeats else least.withColumn("node", F.col("rep"))
+    classes = durable(marks.join(least, ["h", "s", "len"]).select("doc_id", "node"))
+    if repeats:
+        distinct = worded.select(F.col("doc_id").alias("rep"), "text", *text_class).join(least, ["h", "s", "len", "rep"]).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    else:
+        distinct = texts.join(classes.filter("doc_id = node").select("doc_id"), "doc_id", "left_semi")
     nodes = near_classes(distinct.select("doc_id", "text"), width, percent)
-    named = classes.join(nodes.select(F.col("doc").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    named = classes.join(nodes.select(F.col("doc").alias("node"), "comp"), "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
+    if repeats:
+        named = _united(durable(named.distinct()))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     found = named.join(smallest, "comp").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
@@ -274,6 +283,13 @@ def ngram_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_c
     return arrow_map(texts, sizes, "doc_id long, n_shingles long").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _united(named: DataFrame) -> DataFrame:
+    """(doc_id, comp) with the components of each id made one."""
+    links = named.join(named.groupBy("doc_id").agg(F.min("comp").alias("b")), "doc_id").select(F.col("comp").alias("a"), "b")
+    comps = contract(named.select(F.col("comp").alias("doc"), "comp").distinct(), links)
+    return named.withColumnRenamed("comp", "doc").join(comps, "doc").select("doc_id", "comp")
+
+
 def _repeats(texts: DataFrame) -> bool:
     """Whether an id occurs twice."""
     return not texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()

@@ -316,6 +316,19 @@ def test_ngram_join(spark, odd, empty, width, percent):
     assert ngram_join.ngram_components(empty).count() == 0
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for k in range(0, 60, 6):
+        one, two = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+        near = lambda ws: " ".join([*ws[:-1], "changed"])
+        rows += [(k + 1, " ".join(one)), (k + 1, " ".join(two)), (k + 1, " ".join(two)), (k + 2, near(one)), (k + 3, near(two)), (k, " ".join(two)), (k + 4, "alone %d" % k)]
+        want |= {k: k, k + 1: k, k + 2: k, k + 3: k, k + 4: k + 4}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = ngram_join.ngram_components(df, width=4, percent=85).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_signatures_meet_for_every_link():
     rng = np.random.default_rng(0)
     for size in (1, 2, 5, 7, 12, 40, 150, 800):
