@@ -2,8 +2,9 @@
 
 Each stage works on all that its predecessor kept. All but the last return the columns of
 documents; a stage's result is written as Parquet and read again as the next one's input.
-Null texts have no words and go at the quality rules, as do empty ones; rows without an id
-go at the first stage; extra columns are left behind there.
+A verdict is of a row, not of its id: rows without an id or with one that others have are
+judged alone. Null texts have no words and go at the quality rules, as do empty ones; extra
+columns are left behind at the first stage.
 """
 
 from __future__ import annotations
@@ -20,33 +21,51 @@ from rewind.llm.common import arrow_map, checkpoint_folder, documents, durable
 from rewind.llm.ngram_join import ngram_components
 from rewind.llm.packing import pack, piece_digests
 from rewind.llm.quality import ledger, verdicts
-from rewind.llm.toxicity import toxicity
+from rewind.llm.toxicity import Scorer, fit
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Rows of this toxicity score or more go, as in toxicity.score.
+THRESHOLD = 0.3
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose id is among the verdicts, which hold each id that stays."""
-    return docs.select(*COLUMNS).join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def _typed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
-    scored = toxicity(docs, documents(spark, sf_dir, "labels"))
-    return _keep(docs, scored.filter("predicted = 0"))
+    """Rows whose toxicity score is below the threshold."""
+    shared = spark.sparkContext.broadcast(fit(docs, documents(spark, sf_dir, "labels")))  # as large as in toxicity.score
+
+    def clean(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t or "") < THRESHOLD for t in batch.column(1).to_pylist()], pa.bool_()))
+
+    return arrow_map(_typed(docs), clean, SCHEMA)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules of policy v1 keep."""
+    """Rows that the rules of policy v1 keep."""
+    rows = F.struct(*[F.col(c) for c in COLUMNS])
+    book = ledger(docs.select(rows.alias("row"), "text"), id_col="row").select(F.col("doc_id").alias("row"), "fail_bits")
     # The ledger is stored before a policy filters it: a filter would be pushed below the
     # measurements and have each of them worked out once per mention.
-    book = durable(ledger(docs).select("doc_id", "fail_bits"))
-    return _keep(docs, verdicts(book, policy="v1").filter("kept"))
+    return verdicts(durable(book), policy="v1").filter("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of five-word shingle similarity 0.8 or more."""
-    return _keep(docs, ngram_components(docs, width=5, percent=80).filter("doc_id = component_id"))
+    """One row, that of the least id, of each class of five-word shingle similarity 0.8 or more.
+
+    Where ids repeat or are null, rows are numbered in the order of their ids, null ones
+    last, and classes are of rows.
+    """
+    rows, key = docs.select(*COLUMNS), "doc_id"
+    if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        key = "row"
+        rows = durable(rows.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64(*COLUMNS)).withColumn(key, F.monotonically_increasing_id()))
+    kept = ngram_components(rows, width=5, percent=80, id_col=key).filter("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").select(*COLUMNS)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +78,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             sizes = [n if t is None else len(t) for t, n in zip(texts, batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(sizes, pa.int64())], list(COLUMNS))
 
-    typed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    return arrow_map(typed, redacted, "doc_id long, text string, lang string, source string, n_chars long")
+    return arrow_map(_typed(docs), redacted, SCHEMA)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,31 @@ def test_empty_table(spark):
     docs = documents(spark, SF).filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_verdicts_are_of_rows(spark):
+    from collections import Counter
+
+    from rewind.llm import toxicity
+
+    labels = documents(spark, SF, "labels")
+    real = documents(spark, SF)
+    scored = {r.doc_id: r.predicted for r in toxicity.toxicity(real, labels).collect()}
+    # All rows under one id, then without any.
+    rows = [r.text for r in real.collect()]
+    for k in ("7", "null"):
+        same = real.selectExpr(f"cast({k} as long) doc_id", "text", "lang", "source", "n_chars")
+        quality = corpus_pipeline.drop_low_quality(spark, same, SF)
+        own = corpus_pipeline.drop_low_quality(spark, real, SF)
+        assert Counter(r.text for r in quality.collect()) == Counter(r.text for r in own.collect()) and 0 < own.count() < len(rows)
+        near = corpus_pipeline.drop_near_copies(spark, same.limit(40).unionByName(same.limit(40)), SF).collect()
+        want = corpus_pipeline.drop_near_copies(spark, same.limit(40).selectExpr("monotonically_increasing_id() doc_id", "text", "lang", "source", "n_chars"), SF)
+        worded = [r.text for r in near if (r.text or "").split()]
+        assert len(worded) == len(set(worded)) == sum(bool((r.text or "").split()) for r in want.collect())
+    toxic = [k for k, p in scored.items() if p]
+    clean = [k for k, p in scored.items() if not p]
+    # A toxic row goes though a clean one shares its id; a clean row without an id stays.
+    extra = real.filter(f"doc_id = {toxic[0]}").selectExpr(f"cast({clean[0]} as long) doc_id", "text", "lang", "source", "n_chars")
+    bare = real.filter(f"doc_id = {clean[0]}").selectExpr("cast(null as long) doc_id", "concat(text, ' ') text", "lang", "source", "n_chars")
+    kept = corpus_pipeline.drop_toxic(spark, real.unionByName(extra).unionByName(bare), SF).collect()
+    assert sum(r.doc_id is None for r in kept) == 1 and extra.first().text not in {r.text for r in kept}
