@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 
 def capture_to(path: str):
-    """A foreachBatch sink: events past the stored commit position, once each, in files of their batch.
+    """A foreachBatch sink: events from the stored commit position on, once each, in files of their batch.
 
-    The position is the greatest lsn in the log; a replayed batch overwrites its own folder.
+    The position is the greatest lsn in the log. Its commit may go on in this batch: of that
+    lsn the events not yet stored are taken. A replayed batch overwrites its own folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            seen = spark.read.parquet(path).filter(F.col("batch") != batch_id).agg(F.max("lsn")).first()[0]
+            stored = spark.read.parquet(path).filter(F.col("batch") != batch_id)
+            seen = stored.agg(F.max("lsn")).first()[0]
         except Exception as e:  # noqa: BLE001 - only an absent log means a first batch
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             seen = None
-        fresh = batch.filter(F.col("lsn") > F.lit(-1 if seen is None else seen)).dropDuplicates(["lsn", "seq"])
+        fresh = batch.filter(F.col("lsn") >= F.lit(0 if seen is None else seen)).dropDuplicates(["lsn", "seq"])
+        if seen is not None:
+            fresh = fresh.join(stored.filter(F.col("lsn") == seen).select("lsn", "seq"), ["lsn", "seq"], "left_anti").select(batch.columns)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
