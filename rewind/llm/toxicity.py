@@ -15,8 +15,8 @@ Labels only come from rows whose crc32(doc_id as text) mod `folds` is not `held_
 2 to 4 are fitted on at most about `max_train_rows` of them, drawn by a hash of the id.
 Labels, language, source and id are no inputs of a score.
 
-Nulls and empty texts get the classifier's intercept; without training labels of both kinds
-every score is 0; repeated rows each give a row; a null id is never held out; an empty table
+Nulls and empty texts get the classifier's intercept; without training labels of both kinds,
+or any word that leans to toxic texts, every score is 0; repeated rows each give a row; a null id is never held out; an empty table
 gives an empty table; extra columns are ignored.
 """
 
@@ -146,9 +146,11 @@ def learn_lexicon(train: DataFrame, n_toxic: int, n_clean: int) -> dict[str, int
 
     counts = arrow_map(train, count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = F.log(((F.col("toxic") + 0.5) / n_toxic) / ((F.col("clean") + 0.5) / n_clean))
-    best = counts.filter(F.col("toxic") >= max(4, 0.004 * n_toxic)).withColumn("ratio", ratio).filter(F.col("ratio") > math.log(MIN_RATIO)).orderBy(F.desc(F.col("toxic") * F.col("ratio")), F.desc("feature")).limit(4 * LEXICON_SIZE)
+    ranked = lambda least, ratio_over: counts.filter(F.col("toxic") >= least).withColumn("ratio", ratio).filter(F.col("ratio") > math.log(ratio_over)).orderBy(F.desc(F.col("toxic") * F.col("ratio")), F.desc("feature")).limit(4 * LEXICON_SIZE).collect()
+    # Few or noisy labels may leave no such feature: then the best of all that lean to toxic.
+    best = ranked(max(4, 0.004 * n_toxic), MIN_RATIO) or ranked(1, 1)
     kept: dict[str, tuple[int, int]] = {}
-    for f, toxic, clean, _ in best.collect():
+    for f, toxic, clean, _ in best:
         stem = f.rstrip("~")
         if all(kept.get(s) != (toxic, clean) for k in range(4, len(stem) + 3) for s in (stem[:k], f"{stem[:k]}~")) and not any(n == (toxic, clean) and g.startswith(stem) for g, n in kept.items()):
             kept[f] = (toxic, clean)  # else the same documents speak again

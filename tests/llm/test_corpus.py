@@ -135,6 +135,14 @@ def test_toxicity(spark, odd, real, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_few_toxic_labels_still_score(spark):
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2][:60]
+    rows = [(k, f"grimword vileword {'abcdefghij'[n % 10] * 5}" if n < 3 else f"plain words here {'abcdefghij'[n % 10] * 5}", int(n < 3)) for n, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    assert min(got[k] for k in ids[:3]) > max(got[k] for k in ids[3:])
+
+
 def test_scorer_agrees_with_reader():
     # The scorer looks only at cells with a weight; the reader gives all of them.
     reader = toxicity.Reader({"grim": 0, "grim~": 1})
