@@ -24,15 +24,21 @@ def readers(history: DataFrame) -> DataFrame:
     return by_txid.groupBy("reader_xid").agg(first).select("reader_xid", F.col("r.txid").alias("txid"), F.col("r.read_at").alias("read_at"))
 
 
-def rw_edges(history: DataFrame, read_set: DataFrame, *, exact: bool = True, coarse: bool = True) -> DataFrame:
+def rw_edges(history: DataFrame, read_set: DataFrame, *, exact: bool = True, coarse: bool = True, target: int | None = None, match_blocks: bool = False) -> DataFrame:
     """(txid, depends_on, table_name, granularity): reader, writer and how precisely they met.
 
     A tuple read with a key meets the writes of that key; any other read meets all writes of
-    the table. As a join condition with OR would be a nested loop, the two are a union of
+    the table. As a join condition with OR would be a nested loop, the classes are a union of
     equi-joins. A reader counts only if it wrote, and not before the write was committed.
+    match_blocks: a page read meets the writes of its block (column blk of both sides), and
+    those without a block; else, like any coarse read, all writes of its table. target: only
+    edges to that writer.
     """
-    reads = read_set.join(readers(history), "reader_xid").select("table_name", "read_pk", "locktype", "txid", "read_at").distinct()
-    writes = tracked_writes(history).groupBy("table_name", "pk_text", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
+    columns = ["table_name", "read_pk", "locktype", "txid", "read_at"] + ["blk"] * match_blocks
+    reads = read_set.join(readers(history), "reader_xid").select(*columns).distinct()
+    h = tracked_writes(history)
+    h = h if target is None else h.filter(F.col("txid") == target)
+    writes = h.groupBy("table_name", "pk_text", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
     guard = (F.col("read_at") >= F.col("written_at")) & (F.col("txid") != F.col("depends_on"))
     precise = (F.col("locktype") == 2) & F.col("read_pk").isNotNull()
     parts = []
@@ -40,9 +46,19 @@ def rw_edges(history: DataFrame, read_set: DataFrame, *, exact: bool = True, coa
         parts.append(reads.filter(precise).withColumnRenamed("read_pk", "pk_text").join(writes, ["table_name", "pk_text"]).filter(guard))
     if coarse:
         tables = writes.groupBy("table_name", "depends_on").agg(F.min("written_at").alias("written_at"))
-        parts.append(reads.filter(~precise | F.col("read_pk").isNull()).select("table_name", "locktype", "txid", "read_at").distinct().join(tables, "table_name").filter(guard))
+        wide = ~precise | F.col("read_pk").isNull()
+        whole = reads.filter(wide & ~((F.col("locktype") == 1) & F.col("blk").isNotNull()) if match_blocks else wide)
+        parts.append(whole.select("table_name", "locktype", "txid", "read_at").distinct().join(tables, "table_name").filter(guard))
+        if match_blocks:
+            pages = reads.filter((F.col("locktype") == 1) & F.col("blk").isNotNull()).select("table_name", "blk", "locktype", "txid", "read_at").distinct()
+            placed = h.groupBy("table_name", "blk", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
+            parts.append(pages.join(placed.filter("blk IS NOT NULL"), ["table_name", "blk"]).filter(guard))
+            parts.append(pages.join(placed.filter("blk IS NULL").drop("blk"), "table_name").filter(guard))
     edges = [p.select("txid", "depends_on", "table_name", lock_granularity(F.col("locktype")).alias("granularity")) for p in parts]
-    return (edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])).distinct()
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out.distinct()
 
 
 def best_edges(edges: DataFrame) -> DataFrame:
@@ -58,10 +74,10 @@ def upgrade_edges(stored: DataFrame, derived: DataFrame) -> DataFrame:
     return tagged.groupBy("txid", "depends_on").agg(best).select("txid", "depends_on", F.col("b.granularity").alias("granularity"))
 
 
-def conflicts(history: DataFrame, read_set: DataFrame) -> DataFrame:
-    """(txid, depends_on, kind, granularity, table_name) of both kinds, for all targets."""
-    ww = ww_conflicts(history).select("txid", "depends_on", F.lit("ww").alias("kind"), F.lit(None).cast("string").alias("granularity"), F.lit(None).cast("string").alias("table_name"))
-    rw = best_edges(rw_edges(history, read_set)).select("txid", "depends_on", F.lit("rw").alias("kind"), "granularity", "table_name")
+def conflicts(history: DataFrame, read_set: DataFrame, target: int | None = None, match_blocks: bool = False) -> DataFrame:
+    """(txid, depends_on, kind, granularity, table_name) of both kinds, for one target or all."""
+    ww = ww_conflicts(history, target).select("txid", "depends_on", F.lit("ww").alias("kind"), F.lit(None).cast("string").alias("granularity"), F.lit(None).cast("string").alias("table_name"))
+    rw = best_edges(rw_edges(history, read_set, target=target, match_blocks=match_blocks)).select("txid", "depends_on", F.lit("rw").alias("kind"), "granularity", "table_name")
     return ww.unionByName(rw)
 
 
@@ -93,6 +109,24 @@ def age_edges(edges: DataFrame, history: DataFrame, cutoff) -> DataFrame:
     return edges.join(old.select("txid"), "txid", "left_anti")
 
 
+def age_reads(read_set: DataFrame, history: DataFrame, cutoff) -> DataFrame:
+    """Reads that stay: those of a 32-bit reader id of which some transaction committed at or after the cutoff, or none wrote."""
+    latest = tracked_writes(history).groupBy(xid32(F.col("txid")).alias("reader_xid")).agg(F.max("committed_at").alias("at"))
+    return read_set.join(latest.filter(F.col("at") < cutoff).select("reader_xid"), "reader_xid", "left_anti")
+
+
+def age(edges: DataFrame, read_set: DataFrame, history: DataFrame, now, keep) -> tuple[DataFrame, DataFrame, dict]:
+    """(edges, reads, counts) after retention of derived reads; ww edges and history are never touched. keep: a timedelta."""
+    if keep is None or keep.total_seconds() < 0:
+        raise ValueError("the interval to keep must not be negative or missing")
+    cutoff = now - keep
+    rw = edges.filter("kind = 'rw'")
+    at = F.lit(cutoff).cast(history.schema["committed_at"].dataType)
+    left, reads = age_edges(rw, history, at), age_reads(read_set, history, at)
+    counts = {"cutoff": cutoff, "deleted_rw_edges": rw.count() - left.count(), "deleted_read_set": read_set.count() - reads.count()}
+    return edges.filter("kind <> 'rw'").unionByName(left.select(edges.columns)), reads.select(read_set.columns), counts
+
+
 def dependent_transactions(history: DataFrame, read_set: DataFrame) -> DataFrame:
     """Transactions that some other one depends on, without listing the edges.
 

@@ -20,11 +20,12 @@ def restrict(history: DataFrame, *, table: str | None = None, fingerprint: str |
 
 
 def rollup(history: DataFrame) -> DataFrame:
-    """Per transaction: operations by kind, first and last time, least table."""
+    """Per transaction: operations by kind, first and last time, least table, and least fingerprint where the log has one."""
     op = lambda k: F.count_if(F.col("op") == k)
     return history.groupBy("txid").agg(
         F.count("*").alias("changes"), op("I").alias("inserts"), op("U").alias("updates"), op("D").alias("deletes"),
         F.min("committed_at").alias("first_at"), F.max("committed_at").alias("last_at"), F.max("id").alias("last_id"), F.min("table_name").alias("table_name"), F.bool_or("is_undo").alias("has_undo"),
+        *[F.min("fingerprint").alias("fingerprint")] * ("fingerprint" in history.columns),
     )
 
 
@@ -35,8 +36,8 @@ def log(history: DataFrame, *, table: str | None = None, since=None, limit: int
 
 
 def show(history: DataFrame, txid: int) -> DataFrame:
-    """All rows of one transaction, undo rows too."""
-    return history.filter(F.col("txid") == txid)
+    """All rows of one transaction, undo rows too, in the order of their ids."""
+    return history.filter(F.col("txid") == txid).orderBy("id")
 
 
 def status(history: DataFrame) -> DataFrame:
