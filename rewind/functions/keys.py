@@ -70,3 +70,13 @@ def granularity_rank(name: Column) -> Column:
 
 def lock_granularity(locktype: Column) -> Column:
     return F.when(locktype == 0, "relation").when(locktype == 1, "page").otherwise("tuple")
+
+
+def lsn_text(lsn: Column) -> Column:
+    """A log position as two hexadecimal numbers of 32 bits."""
+    return F.concat_ws("/", F.hex(F.shiftrightunsigned(lsn, 32)), F.hex(lsn.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))))
+
+
+def lsn_value(text: Column) -> Column:
+    part = lambda i: F.conv(F.split_part(text, F.lit("/"), F.lit(i)), 16, 10).cast("long")
+    return F.shiftleft(part(1), 32).bitwiseOR(part(2))

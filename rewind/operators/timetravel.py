@@ -40,14 +40,21 @@ def recover_column(live: DataFrame, snapshot: DataFrame, column: str = "v", key:
     return live.drop(column).join(snapshot.select(*key, column), list(key), "left").select(*key, column)
 
 
-def pick_snapshot(catalog: DataFrame, targets: DataFrame) -> DataFrame:
+def pick_snapshot(catalog: DataFrame, targets: DataFrame, span: int = 1 << 20) -> DataFrame:
     """Per target (target_lsn) the newest unpruned snapshot with lsn null or at most the target.
 
-    The catalog is what retention leaves of backups; one sorted array of it meets each target.
+    Positions are cut into spans. Within one, the newest so far is a running maximum; what
+    earlier spans carry over is a running maximum over one row a span, which is broadcast.
     """
-    usable = catalog.filter("NOT pruned").agg(F.array_sort(F.collect_list(F.struct("id", "lsn"))).alias("all"))
-    fit = F.filter("all", lambda s: s["lsn"].isNull() | (s["lsn"] <= F.col("target_lsn")))
-    return targets.crossJoin(F.broadcast(usable)).select("target_lsn", F.try_element_at(fit, F.lit(-1))["id"].alias("snapshot_id"))
+    usable = catalog.filter("NOT pruned").select(F.coalesce("lsn", F.lit(0)).cast("long").alias("lsn"), F.col("id").alias("snapshot"))
+    wanted = targets.select(F.col("target_lsn").cast("long").alias("lsn")).distinct()
+    rows = usable.withColumn("target", F.lit(False)).unionByName(wanted.withColumns({"snapshot": F.lit(None).cast(catalog.schema["id"].dataType), "target": F.lit(True)}))
+    rows = rows.withColumn("span", F.floor(F.col("lsn") / span))
+    within = rows.withColumn("here", F.max("snapshot").over(Window.partitionBy("span").orderBy("lsn")))  # of equal positions all
+    earlier = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    carried = rows.groupBy("span").agg(F.max("snapshot").alias("top")).select("span", F.max("top").over(earlier).alias("carried"))
+    found = within.filter("target").join(F.broadcast(carried), "span").select("lsn", F.greatest("here", "carried").alias("snapshot_id"))
+    return targets.join(found.withColumnRenamed("lsn", "target_lsn"), "target_lsn").select("target_lsn", "snapshot_id")
 
 
 def prunable(catalog: DataFrame, *, retain_count: int = 0, floor=None, by: str = "owner") -> DataFrame:

@@ -425,3 +425,6 @@ def symmetric_diff(spark, sf):
 def invoice_mismatch(spark, sf):
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     return o.join(l, F.col("l_orderkey") == F.col("o_orderkey")).filter("l_extendedprice > o_totalprice").groupBy("o_orderkey").agg(F.count("*").alias("lines"))
+
+
+from . import image_queries  # noqa: E402, F401 - registers its queries
