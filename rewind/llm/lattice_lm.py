@@ -2,7 +2,7 @@
 
 A word is spelled by pieces of an existing vocabulary, or by the bytes of a character, in
 many ways. Its lattice probability is the sum over all of them, by a forward recursion in
-log space. A word of the training texts has one more arc, across the whole word, weighted by
+log space, run over many words at once, one level of nodes after another. A word of the training texts has one more arc, across the whole word, weighted by
 its discounted count; the discounts are the weight of the piece arcs. A text's probability
 is the product over its words and one end symbol.
 
@@ -17,13 +17,16 @@ Beside it stands the base: word counts of the training texts with add-half smoot
 
 Nulls and empty texts hold the end symbol only; repeated rows each give a row (and count
 each); without training rows N and V are 0; an empty table gives an empty table; extra
-columns are ignored; a null id is a training row.
+columns are ignored; a null id is a training row. A word of any length has one lattice, in
+time and memory linear in it, and a text is the sum over its words. Nothing depends on an
+order among equal words or rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,77 +47,120 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
+@lru_cache(maxsize=1)
+def finder(pieces: tuple[str, ...]):
+    """An automaton that gives the end and number of every occurrence of a piece."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for k, p in enumerate(pieces):
+        automaton.add_word(p, k)
+    automaton.make_automaton()
+    return automaton
+
+
+class Arcs:
+    """The arcs of the lattices of many words, which stand side by side in one line with a gap after each.
+
+    A node is a place in the line: a word of n characters (its mark among them) has n + 1, and
+    the gap is the last. Arcs are in the order of their end's level, its distance from the
+    word's first node, so that what is needed for a level is known once those before it are done.
+    """
+
+    def __init__(self, words: list[bytes], automaton, size: np.ndarray):
+        line = " ".join(["▁" + w.decode("utf-8") for w in words])  # no word holds a space
+        self.code = np.frombuffer(line.encode("utf-32-le"), "<u4")
+        gaps = np.flatnonzero(self.code == 32)
+        first, self.last = np.append(0, gaps + 1), np.append(gaps, len(self.code))
+        level = np.arange(len(self.code) + 1) - np.repeat(first, self.last - first + 1)
+        found = np.fromiter((e << 20 | p for e, p in automaton.iter(line)), np.int64)
+        piece, letter = found & 0xFFFFF, np.flatnonzero(self.code != 32)
+        end = np.append((found >> 20) + 1, letter + 1)
+        order = np.argsort(end, kind="stable")
+        deep = level[end[order]]
+        order = order[np.argsort(deep.astype(np.uint16) if deep.max(initial=0) < 1 << 16 else deep, kind="stable")]
+        self.end = end[order]
+        self.start = np.append((found >> 20) + 1 - size[piece], letter)[order]
+        self.piece = np.append(piece, np.full(len(letter), -1))[order]  # -1: the bytes of a character
+        self.groups = np.append(0, np.flatnonzero(np.diff(self.end)) + 1)  # the arcs into one node each
+        depth = level[self.end]
+        levels = np.arange(1, depth.max(initial=0) + 2)
+        self.at = np.searchsorted(depth, levels)
+        self.group_at = np.searchsorted(depth[self.groups] if len(depth) else depth, levels)
+
+
 class Lattice:
     """Piece weights and the two recursions. pieces: piece -> weight; sums to 1 with byte and end weights."""
 
     def __init__(self, vocabulary: tuple[list[tuple[str, float]], dict[int, float], float]):
         pieces, self.bytes, self.end = vocabulary
         self.pieces = dict(pieces)
-        self.by_first: dict[str, tuple[int, ...]] = {}
-        lengths: dict[str, set[int]] = {}
-        for p in self.pieces:
-            lengths.setdefault(p[0], set()).add(len(p))
-        self.by_first = {c: tuple(sorted(n)) for c, n in lengths.items()}
-        self.spelled: dict[str, float] = {}
+        self.names = tuple(self.pieces)
+        self.weight = np.array(list(self.pieces.values()))
+        self.size = np.array([len(p) for p in self.names])
+        self.automaton = finder(self.names)
 
     def spell(self, c: str) -> float:
-        if c not in self.spelled:
-            self.spelled[c] = sum(self.bytes[b] for b in c.encode("utf-8"))
-        return self.spelled[c]
-
-    def arcs(self, word: bytes) -> list[list[tuple[int, float, str | None]]]:
-        """For each end position the arcs into it: (start, log weight, piece or None for bytes)."""
-        s = "▁" + word.decode("utf-8")
-        n, get, known = len(s), self.pieces.get, self.by_first
-        into: list[list] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            c = s[i]
-            into[i + 1].append((i, self.spell(c), None))
-            for k in known.get(c, ()):
-                if i + k > n:
-                    break
-                w = get(p := s[i : i + k])
-                if w is not None:
-                    into[i + k].append((i, w, p))
-        return into
-
-    @staticmethod
-    def forward(into) -> list[float]:
-        exp, log, a = math.exp, math.log, [0.0]
-        for arcs in into[1:]:
-            if len(arcs) == 1:
-                a.append(a[arcs[0][0]] + arcs[0][1])
-                continue
-            t = [a[i] + w for i, w, _ in arcs]
-            m = max(t)
-            a.append(m + log(sum([exp(x - m) for x in t])))
-        return a
-
-    def log_probability(self, word: bytes) -> float:
-        """Natural logarithm of the word's marginal probability."""
-        return self.end if word == END else self.forward(self.arcs(word))[-1]
-
-    def expect(self, word: bytes, weight: float, counts: dict) -> None:
-        """Adds weight times the expected count of each piece (and of each byte, by number)."""
-        if word == END:
-            counts[END] = counts.get(END, 0.0) + weight
+        return sum(self.bytes[b] for b in c.encode("utf-8"))
+
+    def forward(self, words: list[bytes]) -> tuple[Arcs, np.ndarray, np.ndarray]:
+        """(arcs, their log weights, log probability of all ways from a word's first node to each node)."""
+        arcs = Arcs(words, self.automaton, self.size)
+        kinds, which = np.unique(arcs.code, return_inverse=True)
+        spelled = np.array([self.spell(chr(c)) for c in kinds])[which]
+        w = np.where(arcs.piece >= 0, self.weight[arcs.piece], spelled[arcs.start])
+        a = np.zeros(len(arcs.code) + 1)
+        for lo, hi, first, beyond in zip(arcs.at[:-1].tolist(), arcs.at[1:].tolist(), arcs.group_at[:-1].tolist(), arcs.group_at[1:].tolist(), strict=True):
+            t = a[arcs.start[lo:hi]] + w[lo:hi]
+            heads = arcs.groups[first:beyond]
+            most = np.maximum.reduceat(t, heads - lo)
+            sizes = np.diff(np.append(heads, hi))
+            a[arcs.end[heads]] = most + np.log(np.add.reduceat(np.exp(t - np.repeat(most, sizes)), heads - lo))
+        return arcs, w, a
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural logarithms of the words' marginal probabilities."""
+        out = np.full(len(words), self.end)
+        real = [k for k, w in enumerate(words) if w != END]
+        if real:
+            arcs, _, a = self.forward([words[k] for k in real])
+            out[real] = a[arcs.last]
+        return out
+
+    def expect(self, words: list[bytes], counts: Counter) -> None:
+        """Adds the expected count of each piece (and of each byte, by number) in one of each word."""
+        real = [w for w in words if w != END]
+        counts[END] += len(words) - len(real)
+        if not real:
             return
-        into = self.arcs(word)
-        a = self.forward(into)
-        n = len(a)
-        posterior = [0.0] * n
-        posterior[-1] = weight
-        for j in range(n - 1, 0, -1):
-            if posterior[j] <= 0.0:
-                continue
-            for i, w, piece in into[j]:
-                p = posterior[j] * math.exp(a[i] + w - a[j])
-                posterior[i] += p
-                if piece is not None:
-                    counts[piece] = counts.get(piece, 0.0) + p
-                else:
-                    for b in ("▁" + word.decode("utf-8"))[i].encode("utf-8"):
-                        counts[b] = counts.get(b, 0.0) + p
+        arcs, w, a = self.forward(real)
+        share = np.exp(a[arcs.start] + w - a[arcs.end])  # of the ways into an arc's end
+        passed = np.zeros(len(a))
+        passed[arcs.last] = 1.0
+        for lo, hi in zip(arcs.at[-2::-1].tolist(), arcs.at[:0:-1].tolist(), strict=True):
+            share[lo:hi] *= passed[arcs.end[lo:hi]]
+            np.add.at(passed, arcs.start[lo:hi], share[lo:hi])
+        whole = arcs.piece >= 0
+        found = np.bincount(arcs.piece[whole], share[whole], len(self.names))
+        for k in np.flatnonzero(found).tolist():
+            counts[self.names[k]] += float(found[k])
+        kinds, which = np.unique(arcs.code[arcs.start[~whole]], return_inverse=True)
+        for c, n in zip(kinds.tolist(), np.bincount(which, share[~whole]).tolist(), strict=True):
+            for b in chr(c).encode("utf-8"):
+                counts[b] += n
+
+
+def rebatched(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = 1 << 20) -> Iterator[pa.Table]:
+    """The batches in larger ones: of so many rows or bytes, if the last adds no more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 @lru_cache(maxsize=1)
@@ -165,15 +211,13 @@ def score_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
 
     def likelihood(batches):
         lattice = Lattice(model.value)
-        for batch in batches:
-            logp = []
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = piece_arcs + lattice.log_probability(w)
-                if n:
-                    whole = math.log((n - discount) / n_all)
-                    p = max(p, whole) + math.log1p(math.exp(-abs(p - whole)))
-                logp.append(p / LOG10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logp, pa.float64())], ["word", "n", "blocks", "logp"])
+        for table in rebatched(batches):
+            logp = piece_arcs + lattice.log_probabilities(table.column(0).to_pylist())
+            n = table.column(1).to_numpy()
+            if n_all:
+                whole = np.log(np.where(n > 0, n - discount, 1.0) / n_all)
+                logp = np.where(n > 0, np.logaddexp(logp, whole), logp)
+            yield from table.append_column("logp", pa.array(logp / LOG10, pa.float64())).to_batches()
 
     known = arrow_map(words.select("word", "n", "blocks"), likelihood, "word binary, n long, blocks array<int>, logp double")
 
@@ -184,8 +228,8 @@ def score_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
         logp = scored.column("logp").to_numpy()
         out: list[list] = [[], [], [], []]
         for t in unpacked(table):
-            k = np.fromiter((at[w] for w in (*words_of(t), END)), np.int64)
-            for column, value in zip(out, (len(k), int((n[k] > 0).sum()), math.fsum(base[k]), math.fsum(logp[k])), strict=True):
+            k = np.array([*map(at.__getitem__, words_of(t)), at[END]])
+            for column, value in zip(out, (len(k), int((n[k] > 0).sum()), float(base[k].sum()), float(logp[k].sum())), strict=True):
                 column.append(value)
         return pa.table([table.column("doc_id"), table.column("held_out"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([n_all] * len(table), pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -194,10 +238,9 @@ def score_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
 
 def _expectation(model):
     def expectation(batches):
-        lattice, counts = Lattice(model.value), {}
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                lattice.expect(w, 1.0, counts)
+        lattice, counts = Lattice(model.value), Counter()
+        for table in rebatched(batches):
+            lattice.expect(table.column(0).to_pylist(), counts)
         keys = [f"b{k}" if isinstance(k, int) else "e" if k == END else f"p{k}" for k in counts]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.float64())], ["piece", "n"])
 
