@@ -3,8 +3,10 @@
 Each stage works on all that its predecessor kept. All but the last return the columns of
 documents; a stage's result is written as Parquet and read again as the next one's input.
 A verdict is of a row, not of its id: rows without an id or with one that others have are
-judged alone. Null texts have no words and go at the quality rules, as do empty ones; extra
-columns are left behind at the first stage.
+judged alone. Null texts have no words and go at the quality rules, as do empty ones; very
+long texts are judged, redacted and packed whole; a text just at a threshold of toxicity goes,
+one just at the bound of a rule stays, and of near copies that tie (equal rows without ids)
+one stays; an empty table goes through as one; extra columns are left behind at the first stage.
 """
 
 from __future__ import annotations
@@ -98,8 +100,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is stored in the shared checkpoint folder."""
+    """All stages over documents; each result but the last is stored in the shared checkpoint folder.
+
+    A stage's input goes once its result is stored, so two results at most take up disk; the last one's input stays for the result's reader.
+    """
     docs = documents(spark, sf_dir)
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -107,4 +117,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _delete(spark, f"{folder}/{k - 1}")
     return docs

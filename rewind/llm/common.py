@@ -26,10 +26,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests) a temporary folder."""
+    """The cluster's spark.checkpoint.dir; where that is unset a temporary folder, on a local master (tests) only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rewind-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="rewind-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 

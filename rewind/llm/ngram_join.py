@@ -22,7 +22,8 @@ components is ever lost: it ends when no bucket has two.
 
 Words are split at ASCII white space, A-Z in lower case; a text with fewer words than the
 width has its whole sequence as the one shingle; a null or empty text, or one without words,
-has none and is linked with nothing. Sets are of 64-bit hashes. Repeated rows each give a row
+has none and is linked with nothing. A very long text is one set, whole; pairs just at the
+threshold are linked. Sets are of 64-bit hashes. Repeated rows each give a row
 (the same id is one node, linked by each of its texts); an empty table gives an empty table; extra columns are ignored.
 """
 

@@ -20,13 +20,14 @@ of that kind.
 
 The field is trained by pseudo-likelihood on silver labels (base patterns, and assignments
 to a word for a secret, which hold for each mention of the secret) of at most about
-`max_train_docs` texts drawn by a hash of the id; at most `max_nodes` candidates of a text, drawn by a hash of text and
-position;
+`max_train_docs` texts drawn by a hash of id and text; at most `max_nodes` candidates of a text, drawn
+by a hash of text and position (so the driver holds at most their product of rows, 56 MB);
 context features are hidden in half of the training nodes, so that shapes learn to stand
 alone, and the potential of token nodes comes from how often mentions agree with theirs. A
 text with n candidates has at most 3 n edges; a round of messages takes time in n.
 
-Nulls and empty texts hold nothing; repeated rows each give a row; without any candidate in
+Nulls and empty texts hold nothing; a text is read whole however long; of labels equally
+likely the first listed is taken; repeated rows each give a row; without any candidate in
 the drawn texts only base spans are given; an empty table gives an empty table; extra
 columns are ignored.
 """
@@ -286,22 +287,27 @@ def fit_field(x: np.ndarray, y: np.ndarray, around: np.ndarray, rounds: int = 40
     return Field(unary, chain, (np.full(m, max(tie, 0.0)), np.maximum(agree, 0)))
 
 
-def fit(docs: DataFrame, *, max_train_docs: int = 20_000, max_nodes: int = 64, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
-    """A field trained on silver labels of about max_train_docs texts, max_nodes of each; None without a candidate."""
-    texts = id_and_text(docs, id_col, text_col)
+def fit(docs: DataFrame, *, max_train_docs: int = 20_000, max_nodes: int = 16, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
+    """A field trained on silver labels of about max_train_docs texts, max_nodes of each; None without a candidate.
+
+    What is drawn and the fit depend on the set of rows alone: rows equal in id and text count once, and training rows are sorted.
+    """
+    texts = id_and_text(docs, id_col, text_col).withColumn("at", F.xxhash64("doc_id", "text"))
     n = texts.count()
     bound = int(min(1.0, max_train_docs / max(n, 1)) * (1 << 30))
 
     def rows(batches):
-        for _, block in text_blocks(batches):
-            found = [r for t in block for r in drawn_rows(t, max_nodes)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.list_(pa.float32())), pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found], pa.list_(pa.float32()))], ["x", "y", "around"])
+        for batch in batches:
+            found = [(at, k, r) for at, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, r in enumerate(drawn_rows(t, max_nodes))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2][1] for f in found], pa.int32()), pa.array([f[2][0] for f in found], pa.list_(pa.float32())), pa.array([f[2][2] for f in found], pa.list_(pa.float32()))], ["at", "k", "y", "x", "around"])
 
-    drawn = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound)
-    table = arrow_map(drawn, rows, "x array<float>, y int, around array<float>").toArrow()
+    # Rows that are equal share a place: however often one is repeated, it is drawn once.
+    drawn = texts.filter(F.pmod("at", F.lit(1 << 30)) < bound).groupBy("at").agg(F.min("text").alias("text"))
+    table = arrow_map(drawn, rows, "at long, k int, y int, x array<float>, around array<float>").toArrow().sort_by([("at", "ascending"), ("k", "ascending")]).combine_chunks()
     if not table.num_rows:
         return None
-    return fit_field(np.array(table.column("x").to_pylist(), float), np.array(table.column("y").to_pylist(), int), np.array(table.column("around").to_pylist(), float))
+    matrix = lambda c: table.column(c).combine_chunks().flatten().to_numpy().astype(float).reshape(table.num_rows, -1)
+    return fit_field(matrix("x"), table.column("y").to_numpy(), matrix("around"))
 
 
 def find(text: str, field: Field | None) -> list[tuple[str, int, int]]:

@@ -8,7 +8,8 @@ distinct bit patterns.
 
 DataFrame functions only, one pass, no shuffle. Windows of three words are compared by
 64-bit hashes within one document. A null or empty text has no words and fails the base
-rules; repeated rows each give a row; an empty table gives an empty ledger; extra columns
+rules; a very long text is one row of work, n log n in its words; a rule is failed past its
+bound, not on it; repeated rows each give a row; an empty table gives an empty ledger; extra columns
 are ignored.
 """
 

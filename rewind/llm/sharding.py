@@ -7,7 +7,8 @@ bytes before the partition; a running sum inside it gives the bytes before each
 Shard k takes the documents whose middle byte lies in [k, k + 1) / n of all bytes, so a
 shard's bytes differ from the target by at most half a document at either end.
 
-DataFrame functions only. A null text has no bytes; a null id sorts first; rows that are
+DataFrame functions only. A null text has no bytes; one text longer than a shard fills a
+shard (and those that its bytes span stay empty); a null id sorts first; rows that are
 equal in id, size and checksum are interchangeable; an empty table gives an empty table.
 Extra columns are ignored.
 """

@@ -3,16 +3,16 @@
 The reader takes classic TIFF of either byte order: it follows the chain of image file
 directories, reads strips or tiles that are stored plain or packed by PackBits, LZW or
 deflate, undoes horizontal differencing and cuts padded tiles. 8-bit samples, one or more
-interleaved per pixel. A page that can't be read gives a row with a null in `samples` and
-the reason in `error`; a file that isn't TIFF gives one such row; the pages before a broken
-directory are kept. A null or empty binary gives no row.
+interleaved per pixel. A page that can't be read, is larger than `MAX_PAGE` or claims more than its data
+can hold gives a row with a null in `samples` and the reason in `error`, before anything of that size is allocated; a file that isn't TIFF
+gives one such row; the pages before a broken directory are kept. A null or empty binary gives no row.
 
 The writer stores a payload losslessly: rows of 64 samples, pages of at most 1024 rows;
 packing, predictor and strips or tiles follow from the payload's checksum, so equal payloads
 give equal files and a corpus exercises every path.
 
-Nulls in texts count as empty; repeated rows each give their pages; an empty table gives an
-empty table; extra columns are ignored.
+Nulls in texts count as empty; a very long text takes many pages; repeated rows each give
+their pages; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .common import arrow_map, id_and_text, text_blocks
 
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 1024, 64
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes of a page at most, and how many a byte of any packing can stand for at most (LZW: 12 bits for the longest entry).
+MAX_PAGE, MAX_RATIO = 1 << 30, 2800
 #: Tags of the TIFF 6.0 specification (fixed values).
 T_WIDTH, T_HEIGHT, T_BITS, T_COMPRESSION, T_PHOTOMETRIC, T_STRIP_OFFSETS, T_SAMPLES, T_ROWS_PER_STRIP, T_STRIP_COUNTS, T_PLANAR, T_PREDICTOR, T_TILE_WIDTH, T_TILE_HEIGHT, T_TILE_OFFSETS, T_TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 #: Bytes and struct codes of the field types.
@@ -196,7 +198,7 @@ def write_tiff(payload: bytes) -> bytes:
 
 def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]:
     (n,) = struct.unpack_from(f"{order}H", data, at)
-    fields = {}
+    fields: dict[int, tuple] = {}
     for k in range(n):
         place = at + 2 + 12 * k
         tag, field, count = struct.unpack_from(f"{order}HHI", data, place)
@@ -204,6 +206,8 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, tuple], int]
             continue
         width, code = FIELD[field]
         start = place + 8 if width * count <= 4 else struct.unpack_from(f"{order}I", data, place + 8)[0]
+        if start + width * count > len(data):
+            raise ValueError(f"values of tag {tag} lie outside the file")
         fields[tag] = struct.unpack_from(f"{order}{count}{code}", data, start)
     return fields, struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
 
@@ -222,10 +226,17 @@ def _page(data: bytes, fields: dict[int, tuple]) -> np.ndarray:
     else:
         wide, high = width, min(one(T_ROWS_PER_STRIP, height), height)
         offsets, counts = fields[T_STRIP_OFFSETS], fields[T_STRIP_COUNTS]
-    image = np.empty((height, width, channels), np.uint8)
+    if min(width, height, channels) < 1:
+        raise ValueError("an image without pixels")
+    if min(wide, high) < 1:
+        raise ValueError("strips or tiles without pixels")
     across = -(-width // wide)
-    if len(offsets) < across * -(-height // high):
+    if min(len(offsets), len(counts)) < across * -(-height // high):
         raise ValueError("missing strips or tiles")
+    size, held = height * width * channels, sum(min(n, len(data)) for n in counts)
+    if size > MAX_PAGE or wide * high * channels > MAX_PAGE or size > MAX_RATIO * held:
+        raise ValueError("larger than its data can be")
+    image = np.empty((height, width, channels), np.uint8)
     for k in range(across * -(-height // high)):
         y, x = k // across * high, k % across * wide
         rows = high if tiled else min(high, height - y)
@@ -262,7 +273,7 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes | None,
             fields, at = _directory(data, order, at)
             image = _page(data, fields)
             yield page, image.shape[1], image.shape[0], image.shape[2], image.tobytes(), None
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
             yield page, 0, 0, 0, None, str(e)[:200]
             if isinstance(e, struct.error):
                 return

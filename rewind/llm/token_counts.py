@@ -8,12 +8,14 @@ table lacks with the library and remembers it in a bounded cache of the Python w
 No pre-token occurrence is ever shuffled, and the tiers only decide where a length comes
 from, never what it is.
 
-Nulls and empty texts count no tokens; repeated rows and repeated ids each give a row;
+Nulls and empty texts count no tokens; a text is counted whole however long; pre-tokens that
+are equally frequent enter the table in their own order; repeated rows and repeated ids each give a row;
 an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 
@@ -63,7 +65,7 @@ def check_definition(definition: str) -> None:
         raise ValueError("token_counts needs a plain byte-level BPE tokenizer")
 
 
-_workers: dict[int, Lengths] = {}
+_workers: dict[bytes, Lengths] = {}
 
 
 def frequent_pretokens(texts: DataFrame, table_size: int = 32_768, per_task: int = 8_192, task_bound: int = 500_000) -> list[str]:
@@ -93,7 +95,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     plain = Lengths(definition)
     table = {p: plain[p] for p in frequent_pretokens(texts, table_size)}
     shared = context.broadcast((definition, table))  # bounded by the vocabulary file and table_size
-    key = hash((tokenizer_path, table_size, len(table), id(shared)))
+    key = hashlib.sha256(json.dumps([definition, table, cache_bound]).encode("utf-8")).digest()  # workers outlive queries
 
     def count(batches):
         if key not in _workers:

@@ -85,7 +85,7 @@ def test_byte_shards(odd, real, empty):
     assert sharding.byte_shards(empty).count() == 0
 
 
-def test_byte_bpe(odd, empty):
+def test_byte_bpe(spark, odd, empty):
     import tiktoken
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
@@ -99,6 +99,9 @@ def test_byte_bpe(odd, empty):
         assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == e.encode_ordinary(t[r.doc_id])
         assert bytes(r.decoded).decode() == t[r.doc_id]
     assert bpe.encode_documents(empty, path, P.PATTERN).count() == 0
+    words = spark.createDataFrame([(w,) for w in {b"hello" * 20, b"a" * 77, b"ab" * 30, b"abababa", b"\xff\xfe", b"x", b"", "éàé".encode() * 9, b"    ", b"Internationalisierung"}], "word binary")
+    for r in words.select("word", bpe.encode_column(F.col("word"), ranks).alias("ids"), bpe.decode_column(bpe.encode_column(F.col("word"), ranks), ranks).alias("back")).collect():
+        assert r.ids == (e._core_bpe.encode_single_piece(bytes(r.word)) if r.word else []) and r.back == r.word, r.word
     for w in (b"hello" * 200, b"a" * 777, "éàé".encode() * 99):
         assert bpe.merge_long(w, ranks) == e._core_bpe.encode_single_piece(w)
 
@@ -143,15 +146,14 @@ def test_few_toxic_labels_still_score(spark):
     assert min(got[k] for k in ids[:3]) > max(got[k] for k in ids[3:])
 
 
-def test_scorer_agrees_with_reader():
-    # The scorer looks only at cells with a weight; the reader gives all of them.
-    reader = toxicity.Reader({"grim": 0, "grim~": 1})
-    samples = ["", "a grim and grimmest day", "Grim grim grim grim grim", "plain words only"]
-    every = sorted({c for t in samples for c in reader.read(t)[0]})
-    model = toxicity.Model(reader.lexicon, {c: (-1) ** k * 0.1 * k for k, c in enumerate(every[::2], 1)}, -0.5)
-    for t in samples:
-        pull = sum(model.weights.get(c, 0.0) for c in reader.read(t)[0]) + model.bias
-        assert abs(toxicity.Scorer(model).score(t) - 1 / (1 + np.exp(-pull))) < 1e-12
+def test_scorer_adds_the_weights_of_what_it_reads():
+    reader = toxicity.Reader({"grim": 0, "grim~": 1}, {"grim": 0, "grim~": 1, "day": 2})
+    model = toxicity.Model({"grim": 0, "grim~": 1}, {"grim": 0, "grim~": 1, "day": 2}, np.arange(1, 3 + 2 * len(toxicity.HITS) + 1) * 0.1, -0.5)
+    # places: grim, grim~, day, hit words over 1 2 3 5, lexicons over 1 2 3 5
+    want = {"": set(), "a grim and grimmest day": {0, 1, 2, 3, 4, 7, 8}, "Grim grim grim grim grim": {0, 3, 4, 5, 6, 7}, "plain words only": set()}
+    for t, places in want.items():
+        assert reader.read(t)[0] == places
+        assert abs(toxicity.Scorer(model).score(t) - 1 / (1 + np.exp(0.5 - sum(0.1 * (p + 1) for p in places)))) < 1e-12
 
 
 def test_label_model_weighs_good_voters():
@@ -159,9 +161,38 @@ def test_label_model_weighs_good_voters():
     y = rng.random(4000) < 0.2
     good = [np.where(y & (rng.random(4000) < 0.8), 1, 0) for _ in range(4)]
     noise = [np.where(rng.random(4000) < 0.2, 1, 0) for _ in range(2)]
+    echo = [noise[0]] * 6  # says again what one bad voter says: correlation, not evidence
     silent = np.where(np.sum(good, axis=0) == 0, -1, 0)
-    p = toxicity.label_model(np.stack([*good, *noise, silent], axis=1), 0.2)
+    votes = np.stack([*good, *noise, *echo, silent], axis=1)  # and a label that errs in a tenth gives the first guess
+    p = toxicity.label_model(votes, np.where(y ^ (rng.random(4000) < 0.1), 0.8, 0.03), np.ones(4000), 0.2)
     assert ((p > 0.5) == y).mean() > 0.97
+    level = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)
+    parent = toxicity.voter_tree(level, p, np.ones(4000))
+    assert all(votes[:, parent[k]].tolist() == echo[0].tolist() for k in range(7, 12))
+
+
+def area_under_curve(scores, y):
+    above = [(a > b) + (a == b) / 2 for a, i in zip(scores, y, strict=True) if i for b, j in zip(scores, y, strict=True) if not j]
+    return sum(above) / len(above)
+
+
+@pytest.mark.parametrize("sf,least", [("sf0.01", 0.75), ("sf0.1", 0.98)])
+def test_toxicity_on_held_out_rows(spark, sf, least):
+    docs, labels = (documents(spark, f"/root/testdata/{sf}", t) for t in ("documents", "labels"))
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    runs = [{r.doc_id: r for r in toxicity.toxicity(docs.repartition(n), labels).collect()} for n in (3, 11)]
+    assert {k: r.score for k, r in runs[0].items()} == {k: r.score for k, r in runs[1].items()}
+    held = [r for k, r in runs[0].items() if r.held_out and k in marks]
+    y = [marks[r.doc_id] for r in held]
+    assert area_under_curve([r.score for r in held], y) >= least
+    # No word chosen by the training labels alone does as well.
+    train = [(set((r.text or "").lower().split()), marks[r.doc_id]) for r in docs.collect() if r.doc_id in marks and not runs[0][r.doc_id].held_out]
+    counts = {t: Counter(w for ws, m in train if m == t for w in ws) for t in (0, 1)}
+    n = Counter(m for _, m in train)
+    odds = {w: math.log((counts[1][w] + 0.5) / (n[1] + 1)) - math.log((counts[0][w] + 0.5) / (n[0] + 1)) for w in counts[1]}
+    best = max(odds, key=lambda w: odds[w] * counts[1][w])
+    words = {r.doc_id: set((r.text or "").lower().split()) for r in docs.collect()}
+    assert area_under_curve([r.score for r in held], y) >= area_under_curve([float(best in words[r.doc_id]) for r in held], y)
 
 
 def test_pii(odd, empty):
@@ -179,6 +210,40 @@ def test_pii(odd, empty):
     assert pii.spans(empty, pii.fit(empty)).count() == 0
 
 
+def brute_base(text):
+    """The contract's patterns, as they are written."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        out += [("ip", *m.span())] * all(int(p) <= 255 for p in m.group().split("."))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m.group() if c in "0123456789"]
+        double = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits[::-1]))
+        out += [("card", *m.span())] * (13 <= len(digits) <= 19 and double % 10 == 0)
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        out += [("phone", *m.span())] * (9 <= sum(c in "0123456789" for c in m.group()) <= 15)
+    return out
+
+
+def test_base_spans_are_the_plain_patterns(real):
+    rng = random.Random(9)
+    parts = ["a@b.co", "@", ".", "1.2.3.4", "255.255.255.256", "4111 1111 1111 1111", "+1 (555) 555-5555", "+49.30", "-", " ", "x", "00", "5", "é", "_%+", "..", "a.b-c@d-e.f.g", "١٢٣"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        assert pii.base_spans(t) == brute_base(t), t
+    for t in texts(real).values():
+        assert pii.base_spans(t) == brute_base(t)
+
+
+def test_field_is_a_function_of_the_rows(spark, real):
+    once = real.select("doc_id", "text")
+    odd_ids = once.limit(20).select(F.lit(None).cast("long").alias("doc_id"), "text")
+    many = once.unionByName(odd_ids)
+    for _ in range(3):
+        many = many.unionByName(once.limit(50))  # rows repeated under their ids
+    a, b = pii.fit(once.unionByName(odd_ids).repartition(3)), pii.fit(many.repartition(11))
+    assert np.array_equal(a.unary, b.unary) and np.array_equal(a.chain, b.chain)
+
+
 def test_skip_edges_carry_labels():
     rng = random.Random(4)
     train = []
@@ -236,6 +301,74 @@ def test_tiff(odd, empty):
     assert next(tiff.read_pages(tiff.write_tiff(b"x" * 64)[:40]))[4] is None
 
 
+def test_broken_tiffs_give_error_rows(spark):
+    good = tiff.write_tiff(bytes(range(64)) * 40)
+    (at,) = struct.unpack_from("<I", good, 4)
+    (n,) = struct.unpack_from("<H", good, at)
+    place = {struct.unpack_from("<H", good, at + 2 + 12 * k)[0]: at + 2 + 12 * k for k in range(n)}
+    assert [p[5] for p in tiff.read_pages(good)] == [None]
+
+    def patched(tag, value, count=None):
+        b = bytearray(good)
+        kind = struct.unpack_from("<H", b, place[tag] + 2)[0]
+        struct.pack_into("<H" if kind == 3 else "<I", b, place[tag] + 8, value)
+        if count is not None:
+            struct.pack_into("<I", b, place[tag] + 4, count)
+        return bytes(b)
+
+    broken = [patched(tiff.T_WIDTH, 0), patched(tiff.T_HEIGHT, 0), patched(tiff.T_HEIGHT, 2**31), patched(tiff.T_HEIGHT, 2**32 - 1), patched(tiff.T_SAMPLES, 0), patched(tiff.T_COMPRESSION, 99), patched(tiff.T_PREDICTOR, 7), patched(tiff.T_BITS, 16)]
+    for tag in (tiff.T_ROWS_PER_STRIP, tiff.T_TILE_WIDTH, tiff.T_TILE_HEIGHT):
+        if tag in place:
+            broken += [patched(tag, 0), patched(tag, 2**31)] if tag != tiff.T_ROWS_PER_STRIP else [patched(tag, 0)]
+    broken += [patched(tiff.T_BITS, 8, 2**31), good[:at], good[: at + 5], good[:9], b"II*\0\0\0\0\1"]
+    for b in broken:
+        assert all(p[4] is None and p[5] for p in tiff.read_pages(b)), b[:16]
+    rng = random.Random(11)
+    for _ in range(300):  # any damage at all
+        b = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        list(tiff.read_pages(bytes(b)))
+    media = spark.createDataFrame([(k, b) for k, b in enumerate([good, *broken, b"", None])], "doc_id long, media binary")
+    rows = tiff.tiff_pages(media).collect()
+    assert sum(r.error is None for r in rows) == 1
+
+
+def test_tiffs_of_other_writers():
+    """Big-endian files, several channels and several tiles across, written here."""
+    rng = np.random.default_rng(3)
+    for order in "<>":
+        for channels, wide, high in ((1, 16, 16), (3, 16, 32)):
+            image = rng.integers(0, 256, (50, 40, channels)).astype(np.uint8)
+            across, down = -(-40 // wide), -(-50 // high)
+            padded = np.zeros((down * high, across * wide, channels), np.uint8)
+            padded[:50, :40] = image
+            body, offsets, counts = bytearray(struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, 0)), [], []
+            for y in range(down):
+                for x in range(across):
+                    tile = padded[y * high : (y + 1) * high, x * wide : (x + 1) * wide].copy()
+                    tile[:, 1:] -= tile[:, :-1].copy()
+                    packed = zlib.compress(tile.tobytes())
+                    offsets.append(len(body))
+                    counts.append(len(packed))
+                    body += packed
+            lists = {}
+            for tag, values in ((tiff.T_TILE_OFFSETS, offsets), (tiff.T_TILE_COUNTS, counts)):
+                lists[tag] = len(body)
+                body += struct.pack(f"{order}{len(values)}I", *values)
+            bits = len(body)
+            body += struct.pack(f"{order}{channels}H", *[8] * channels)
+            struct.pack_into(f"{order}I", body, 4, len(body))
+            fields = [(tiff.T_WIDTH, 4, 1, 40), (tiff.T_HEIGHT, 4, 1, 50), (tiff.T_BITS, 3, channels, bits if channels > 2 else None), (tiff.T_COMPRESSION, 3, 1, 8), (tiff.T_SAMPLES, 3, 1, channels), (tiff.T_PREDICTOR, 3, 1, 2), (tiff.T_TILE_WIDTH, 4, 1, wide), (tiff.T_TILE_HEIGHT, 4, 1, high), (tiff.T_TILE_OFFSETS, 4, len(offsets), lists[tiff.T_TILE_OFFSETS]), (tiff.T_TILE_COUNTS, 4, len(counts), lists[tiff.T_TILE_COUNTS])]
+            body += struct.pack(f"{order}H", len(fields))
+            for tag, kind, count, value in fields:
+                value = 8 if value is None else value
+                body += struct.pack(f"{order}HHI", tag, kind, count) + (struct.pack(f"{order}HH", value, 0) if kind == 3 and count == 1 else struct.pack(f"{order}I", value))
+            body += struct.pack(f"{order}I", 0)
+            ((_, w, h, c, samples, error),) = tiff.read_pages(bytes(body))
+            assert error is None and (w, h, c) == (40, 50, channels) and samples == image.tobytes()
+
+
 def test_packing(odd, real, empty):
     from tokenizers import Tokenizer
 
@@ -255,6 +388,19 @@ def test_packing(odd, real, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_word_merges_are_the_librarys():
+    rng = random.Random(8)
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    parts = "the of and ing ion er re th st in an on at en nd or es it un con dis ness able ment ous ful ity ly a e i o u s t".split()
+    some = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(30_000)}
+    some |= {"".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüßñ漢字") for _ in range(rng.randint(1, 16))) for _ in range(10_000)}
+    some |= {"".join(rng.choice("!?#$%&'()*+-./:;<=>@[]^_`{|}~") for _ in range(rng.randint(1, 6))) for _ in range(5_000)} - {"'"}
+    for w in sorted(some):
+        if words.split(w) == [w]:
+            assert words[w] == words.plain(w), w
+
+
 def test_hilbert_keys_are_a_walk():
     cube = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert_keys(cube, 3)
@@ -288,7 +434,17 @@ def test_forward_sums_all_segmentations():
         total = math.exp(lattice.spell(s[0])) * every(s[1:])
         return total + sum(math.exp(w) * every(s[len(p) :]) for p, w in lattice.pieces.items() if s.startswith(p))
 
-    assert math.isclose(lattice.log_probability(b"abab"), math.log(every("▁abab")), rel_tol=1e-12)
+    words = [b"abab", b"b", b"a", lattice_lm.END, b"abcab", b"ab" * 7]
+    got = lattice.log_probabilities(words)
+    assert all(math.isclose(p, -3.0 if w == lattice_lm.END else math.log(every("▁" + w.decode())), rel_tol=1e-12) for w, p in zip(words, got, strict=True))
+    # A piece's expected count is how its weight moves the logarithm of the probability.
+    counts = Counter()
+    lattice.expect(words, counts)
+    for p in ("a", "ab", "▁"):
+        moved = lattice_lm.Lattice(([(q, w + 1e-6 * (q == p)) for q, w in vocabulary[0]], *vocabulary[1:]))
+        assert math.isclose(counts[p], float((moved.log_probabilities(words) - got).sum()) / 1e-6, rel_tol=1e-4)
+    assert counts[lattice_lm.END] == 1
+    assert math.isclose(sum(n * len(p) for p, n in counts.items() if isinstance(p, str)) + sum(n for p, n in counts.items() if isinstance(p, int) and p < 128), sum(len(w) + 1 for w in words if w != lattice_lm.END) - counts[0xE2])
 
 
 def brute_components(rows, width, percent):
@@ -337,6 +493,22 @@ def test_ngram_join_of_ids_with_several_texts(spark):
     assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
 
 
+def test_rows_without_ids(spark, real):
+    """A null id is a row like others: no operator drops it or fails."""
+    rows = real.select("doc_id", "text").limit(30).unionByName(real.limit(10).select(F.lit(None).cast("long").alias("doc_id"), "text")).withColumn("score", F.lit("clash"))
+    labels = documents(spark, SF, "labels")
+    n = rows.count()
+    assert n == 40
+    assert token_counts.token_counts(rows, P.path("byte_bpe_50k.json")).count() == n
+    assert sorted(r.slot for r in sharding.byte_shards(rows, 1).collect()) == list(range(n))
+    assert bpe.encode_documents(rows, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == n
+    assert [r.held_out for r in toxicity.toxicity(rows, labels).collect() if r.doc_id is None] == [False] * 10
+    assert quality.quality_verdicts(rows).count() == pii.spans(rows, pii.fit(rows)).count() == tiff.media_round_trip(rows).count() == n
+    assert packing.pack(rows, P.path("word_bpe_49k.json")).filter("doc_id is null and start = 0").count() == 10
+    assert lattice_lm.score_documents(rows, P.path("piece_bpe_32k.model")).filter("doc_id is null and not held_out").count() == 10
+    assert ngram_join.ngram_components(rows).count() == n
+
+
 def test_signatures_meet_for_every_link():
     rng = np.random.default_rng(0)
     for size in (1, 2, 5, 7, 12, 40, 150, 800):
