@@ -153,3 +153,48 @@ def classify(history: DataFrame, read_set: DataFrame) -> DataFrame:
     """Every transaction: changes and clean or dependent."""
     marked = dependent_transactions(history, read_set).withColumn("dependent", F.lit(True))
     return tracked_writes(history).groupBy("txid").agg(F.count("*").alias("changes")).join(marked, "txid", "left").select("txid", "changes", F.when(F.col("dependent"), "dependent").otherwise("clean").alias("classification"))
+
+
+def _readers_from(writers: DataFrame, reads: DataFrame) -> DataFrame:
+    """(depends_on, n): distinct other readers of any table a transaction wrote, not before it did, without listing them.
+
+    writers: (table_name, depends_on, written_at); reads: (table_name, txid, read_at), one read_at a reader.
+    Readers are counted by the set of tables they read, of which there are few. Against one
+    such set a writer has one threshold; the reads past it are those of later hours, summed
+    once for each hour, and the later ones of its own hour.
+    """
+    sets = reads.groupBy("txid", "read_at").agg(F.array_sort(F.collect_set("table_name")).alias("tables"))
+    members = sets.select("tables").distinct().withColumn("table_name", F.explode("tables"))
+    wanted = writers.join(members, "table_name").groupBy("depends_on", "tables").agg(F.min("written_at").alias("at"))
+    marks = sets.select("tables", F.col("read_at").alias("at"), F.lit(1).alias("read"), F.lit(None).cast("long").alias("depends_on"))
+    both = marks.unionByName(wanted.select("tables", "at", F.lit(0).alias("read"), "depends_on")).withColumn("hour", F.date_trunc("hour", "at"))
+    within = both.withColumn("here", F.sum("read").over(Window.partitionBy("tables", "hour").orderBy(F.desc("at"))))  # reads at the same time count
+    hours = both.groupBy("tables", "hour").agg(F.sum("read").alias("n"))
+    later = hours.withColumn("later", F.coalesce(F.sum("n").over(Window.partitionBy("tables").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counted = within.filter("read = 0").join(later.select("tables", "hour", "later"), ["tables", "hour"])
+    own = sets.select(F.col("txid").alias("depends_on"), "tables", "read_at")
+    less = F.when(F.col("read_at") >= F.col("at"), 1).otherwise(0)  # a transaction does not depend on itself
+    return counted.join(own, ["depends_on", "tables"], "left").groupBy("depends_on").agg(F.sum(F.col("here") + F.col("later") - less).alias("n"))
+
+
+def dependent_counts(history: DataFrame, read_set: DataFrame) -> DataFrame:
+    """(txid, exact_dependents, over_approx_dependents), as precision() labels the conflicts, without the coarse edges.
+
+    Only pairs that met on a key are listed. A wide read labelled tuple (its key is not known)
+    counts as exact, like in the list; a pair found both ways counts once.
+    """
+    h = tracked_writes(history)
+    pairs = ww_conflicts(history).unionByName(rw_edges(history, read_set, coarse=False).select("txid", "depends_on")).distinct()
+    wide = read_set.filter("locktype <> 2 OR read_pk IS NULL").join(readers(history), "reader_xid").select("table_name", "locktype", "txid", "read_at").distinct()
+    writers = h.groupBy("table_name", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
+    total = pairs.groupBy("depends_on").agg(F.count("*").alias("pairs"))
+    parts = [total]
+    for name, reads in (("any", wide.drop("locktype").distinct()), ("tuple", wide.filter("locktype = 2").drop("locktype"))):
+        seen = pairs.join(reads, "txid").join(writers, ["table_name", "depends_on"]).filter("read_at >= written_at").select("txid", "depends_on").distinct()
+        parts += [_readers_from(writers, reads).withColumnRenamed("n", f"n_{name}"), seen.groupBy("depends_on").agg(F.count("*").alias(f"seen_{name}"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "depends_on", "full_outer")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    exact, every = n("pairs") + n("n_tuple") - n("seen_tuple"), n("pairs") + n("n_any") - n("seen_any")
+    return out.select(F.col("depends_on").alias("txid"), exact.alias("exact_dependents"), (every - exact).alias("over_approx_dependents")).filter("exact_dependents + over_approx_dependents > 0")

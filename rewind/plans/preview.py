@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.deps import conflicts, dependent_transactions, precision
+from ..operators.deps import conflicts, dependent_counts, precision
 from ..operators.images import reference_summary
 from ..operators.log import tracked_writes
 
@@ -68,11 +68,11 @@ class UndoPlan:
 
 
 def preview_all(history: DataFrame, read_set: DataFrame) -> DataFrame:
-    """Every transaction: operations, classification, dependents by precision."""
-    labels = precision(conflicts(history, read_set)).groupBy(F.col("depends_on").alias("txid")).agg(F.count_if(F.col("precision") == "exact").alias("exact_dependents"), F.count_if(F.col("precision") == "over-approx").alias("over_approx_dependents"))
+    """Every transaction: operations, classification, dependents by precision. Coarse edges are counted, not listed."""
     ops = tracked_writes(history).groupBy("txid").agg(F.count("*").alias("op_count"))
-    marked = dependent_transactions(history, read_set).withColumn("d", F.lit("dependent"))
-    return ops.join(marked, "txid", "left").join(labels, "txid", "left").select("txid", "op_count", F.coalesce("d", F.lit("clean")).alias("classification"), F.coalesce("exact_dependents", F.lit(0)).alias("exact_dependents"), F.coalesce("over_approx_dependents", F.lit(0)).alias("over_approx_dependents"))
+    counts = ops.join(dependent_counts(history, read_set), "txid", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return counts.select("txid", "op_count", F.when(F.col("exact_dependents").isNull(), "clean").otherwise("dependent").alias("classification"), n("exact_dependents"), n("over_approx_dependents"))
 
 
 def inverse_of(op):
