@@ -354,3 +354,34 @@ def test_store_rule():
     for env in ({}, {"REWIND_META_STORE": "file:///a/t/"}, {"REWIND_META_STORE": "/a/x/../t"}):
         with pytest.raises(StoreRule):
             meta_store("/a/t", env)
+
+
+def test_routes(spark, tmp_path):
+    import json
+    import threading
+    import urllib.request
+
+    from rewind.server import answer, serve
+
+    client = Client(spark, f"{tmp_path}/store")
+    client.engine.create("t", spark.createDataFrame([(1, "a")], "k int, v string"), ["k"])
+    assert answer(client, "POST", "/v1/track", b'{"table": "t"}')[0] == 200 and answer(client, "POST", "/v1/track", b"{}")[0] == 400 and answer(client, "POST", "/v1/track", b'{"table": "x"}')[0] == 404
+    t1 = client.engine.write({"t": spark.createDataFrame([(1, "b")], "k int, v string")})
+    client.engine.write({"t": spark.createDataFrame([(1, "c")], "k int, v string")})
+    status, plan = answer(client, "POST", "/v1/undo/preview", json.dumps({"txid": t1}).encode())
+    assert status == 200 and plan["classification"] == "dependent"
+    status, refused = answer(client, "POST", "/v1/undo", json.dumps({"txid": t1}).encode())
+    assert status == 409 and "has dependent transactions" in refused["error"]
+    assert answer(client, "POST", "/v1/undo", b'{"txid": 99}') == (404, {"ok": False, "error": "no tracked writes found for txid 99"})
+    assert answer(client, "POST", "/v1/undo", b"{}")[0] == 400 and answer(client, "GET", "/v2")[0] == 404 and answer(client, "POST", "/v1/storage/as-of", b"{}")[0] == 400
+    status, job = answer(client, "POST", "/v1/storage/snapshot", b'{"label": "x"}')
+    client.runner.drain()
+    assert answer(client, "GET", f"/v1/jobs/{job['job']}")[1]["state"] == "succeeded" and answer(client, "GET", "/v1/jobs/77")[0] == 404
+    assert answer(client, "POST", f"/v1/jobs/{job['job']}/cancel") == (200, {"canceled": False}) and len(answer(client, "GET", "/v1/storage/backups")[1]) == 1
+    assert answer(client, "GET", "/v1/changes?table=t&limit=1")[1][0]["changes"] == 1 and len(answer(client, "GET", f"/v1/tx/{t1}")[1]) == 1
+    server = serve(client)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/v1/status", timeout=60) as r:
+        assert json.load(r)["changes"] == 2
+    server.shutdown()
+    client.close()
