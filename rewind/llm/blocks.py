@@ -28,7 +28,7 @@ def in_blocks(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     n = max(1, -(-total // block_bytes))
 
     def pack(batches):
-        compress = zstandard.ZstdCompressor(level=1).compress
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t.encode("utf-8")) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
@@ -42,19 +42,19 @@ def unpacked(table: pa.Table) -> list[str]:
     return [decompress(b).decode("utf-8") for b in table.column("packed").to_pylist()]
 
 
-def name_words(blocked: DataFrame, words: Callable[[list, list[str]], dict[bytes, int]]) -> DataFrame:
-    """(block, word, n): the distinct words of each block by words(ids, texts), with a count of each."""
+def name_words(blocked: DataFrame, words: Callable[[list, list[str]], list[bytes]]) -> DataFrame:
+    """(block, word): the distinct words of each block by words(ids, texts)."""
 
     def of_block(table: pa.Table) -> pa.Table:
         found = words(table.column("doc_id").to_pylist(), unpacked(table))
         block = table.column("block")[0].as_py()
-        return pa.table([pa.array([block] * len(found), pa.int32()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["block", "word", "n"])
+        return pa.table([pa.array([block] * len(found), pa.int32()), pa.array(found, pa.binary())], ["block", "word"])
 
-    return blocked.groupBy("block").applyInArrow(of_block, "block int, word binary, n long")
+    return blocked.groupBy("block").applyInArrow(of_block, "block int, word binary")
 
 
 def by_word(named: DataFrame) -> DataFrame:
-    """(word, n, blocks): one row a distinct word, with its count in all blocks and the blocks that named it."""
+    """(word, n, blocks) of (block, word, n): one row a distinct word, with its count in all blocks and the blocks that named it."""
     return named.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
 
 

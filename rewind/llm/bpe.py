@@ -3,12 +3,16 @@
 Every distinct pre-token of the corpus is encoded once: its bytes become an array of
 single-byte ids, and a fold merges, step by step, the leftmost pair of lowest rank, looked
 up in a literal map from id pairs to ranks (a merged piece's id is its rank). As Spark looks
-a map type up by scanning it, the literal is a hash map: an array of short buckets. The
-ids go back to the documents by blocks (see blocks.py), and decoding concatenates the binary
-pieces of the ids.
-
-The fold takes time in the square of a word's length; words over `fold_limit` bytes are
-merged by the same rule with a heap, where they occur. Nulls and empty texts have no ids;
+a map type up by scanning it, the literal is a cuckoo table: two arrays, a pair in its place
+in one of them. The fold's state is one array of numbers, each an id with its place in the
+word and the rank of its pair with the next, so a step looks up only the two pairs that it
+makes. The ids go back to the documents by blocks (see blocks.py), and decoding concatenates
+the binary pieces of the ids.
+
+The fold takes time in the square of a word's length: a step copies the array. Words over
+`fold_limit` bytes (none in ordinary prose; README.md has figures) are merged by the same
+rule with a heap, where they occur, so that a very long text without white space takes time
+n log n. Nulls and empty texts have no ids; pairs of equal rank are merged from the left;
 repeated rows each give a row; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -24,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_word, in_blocks, meet, name_words, unpacked
-from .common import id_and_text
+from .blocks import in_blocks, meet, name_words, unpacked
+from .common import id_and_text, let
 from .pretokens import splitter
 
-BUCKETS = 1 << 17
-#: Ids take 20 bits.
-MASK = (1 << 20) - 1
+#: Ids and places in a word take 20 bits each, ranks what is above; NONE is above all ranks.
+BITS = 20
+MASK = (1 << BITS) - 1
+NONE = 1 << BITS
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -45,46 +50,81 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                out[left << 20 | right] = rank
+                out[left << BITS | right] = rank
     return out
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: BUCKETS arrays of (pair << 20 | rank), by the hash of the pair."""
-    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for pair, rank in pair_ranks(ranks).items():
-        buckets[((pair >> 20) * 31 + (pair & MASK)) % BUCKETS].append(pair << 20 | rank)
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
+#: Multipliers of the two places of a pair (left id, right id); products stay below 2 ** 63.
+PLACES = ((2654435761, 2246822519), (3266489917, 668265263))
+SHIFT = 15
+
+
+def rank_tables(pairs: dict[int, int]) -> list[list[int]]:
+    """The cuckoo table: two arrays of (pair << BITS | rank) or 0, at least twice as long as the pairs in all."""
+    size = 1 << max(4, (len(pairs)).bit_length())
+    while True:
+        tables = [[0] * size, [0] * size]
+        for pair, rank in pairs.items():
+            entry, side = pair << BITS | rank, 0
+            for _ in range(500):
+                pair = entry >> BITS
+                m, n = PLACES[side]
+                at = ((pair >> BITS) * m ^ (pair & MASK) * n) >> SHIFT & (size - 1)
+                entry, tables[side][at] = tables[side][at], entry
+                if not entry:
+                    break
+                side = 1 - side
+            else:
+                break
+        else:
+            return tables
+        size *= 2
 
 
 def encode_column(word: Column, ranks: dict[bytes, int]) -> Column:
     """The ids (array<int>) of a binary pre-token."""
-    literal = rank_map(ranks)
-    single = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
+    tables = rank_tables(pair_ranks(ranks))
+    size = len(tables[0])
+    literal = F.from_json(F.lit(json.dumps(tables, separators=(",", ":"))), "array<array<bigint>>")  # folded when the query is planned
+    single = F.array(*[F.lit(ranks[bytes([b])]).cast("long") for b in range(256)])
     code = F.hex(word)
-    start = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.element_at(single, F.conv(F.substring(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))
+    first = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.element_at(single, F.conv(F.substring(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))
+
+    def rank(t, a, b):
+        """The rank of the pair of ids a, b (long) in the tables t, or NONE."""
+        pair = F.shiftleft(a, BITS).bitwiseOR(b)
+        found = F.when(b.isNull(), F.lit(NONE).cast("long"))
+        for k, (m, n) in enumerate(PLACES):
+            mixed = (a * F.lit(m).cast("long")).bitwiseXOR(b * F.lit(n).cast("long"))
+            entry = F.get(F.get(t, F.lit(k)), F.shiftright(mixed, SHIFT).bitwiseAND(F.lit(size - 1).cast("long")).cast("int"))
+            found = found.when(F.shiftright(entry, BITS) == pair, entry.bitwiseAND(F.lit(MASK).cast("long")))
+        return found.otherwise(F.lit(NONE).cast("long"))
 
-    def rank(a, b):
-        pair = F.shiftleft(a.cast("long"), 20).bitwiseOR(b.cast("long"))
-        found = F.filter(F.get(literal, (a * 31 + b) % BUCKETS), lambda e: F.shiftright(e, 20) == pair)
-        return F.get(found, F.lit(0)).bitwiseAND(F.lit(MASK)).cast("int")
+    id_of = lambda e: e.bitwiseAND(F.lit(MASK).cast("long"))
+    place_of = lambda e: e.bitwiseAND(F.lit(MASK << BITS).cast("long"))
+    entry = lambda r, place, i: F.shiftleft(r, 2 * BITS).bitwiseOR(place).bitwiseOR(i)
+    state = lambda a: F.struct(F.array_min(a).alias("least"), a.alias("a"))
+    none = F.lit(NONE << 2 * BITS).cast("long")
 
-    def merge(ids):
-        ranked = F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)))
+    def merge(t, s):
+        """Merges the pair of the least entry: the lowest rank, then the leftmost."""
+        a, least = s["a"], s["least"]
 
-        def apply(r):
-            lowest = F.array_min(r)
-            at = F.array_position(r, lowest).cast("int")
-            merged = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(lowest), F.slice(ids, at + 2, F.size(ids)))
-            return F.when(lowest.isNull(), F.struct(F.lit(True).alias("done"), ids.alias("ids"))).otherwise(F.struct(F.lit(False).alias("done"), merged.alias("ids")))
+        def at(k):
+            merged = F.shiftright(least, 2 * BITS)
+            left, right = F.get(a, k - 2), F.get(a, k + 1)
+            here = F.array(entry(rank(t, merged, id_of(right)), place_of(least), merged))
+            before = F.when(k == 1, here).otherwise(F.concat(F.slice(a, F.lit(1), F.greatest(k - 2, F.lit(0))), F.array(entry(rank(t, id_of(left), merged), place_of(left), id_of(left))), here))
+            return F.concat(before, F.slice(a, k + 2, F.size(a)))
 
-        return F.element_at(F.transform(F.array(ranked), apply), 1)
+        return let(let(F.array_position(a, least).cast("int"), at), state)
 
-    def step(state, _):
-        return F.when(state["done"], state).otherwise(merge(state["ids"]))
+    def fold(t, ids):
+        begin = state(F.transform(ids, lambda x, i: entry(rank(t, x, F.get(ids, i + 1)), F.shiftleft(i.cast("long"), BITS), x)))
+        step = lambda s, _: F.when(s["least"] >= none, s).otherwise(merge(t, s))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), begin, step, lambda s: F.transform(s["a"], lambda e: id_of(e).cast("int")))
 
-    begin = F.struct((F.size(start) < 2).alias("done"), start.alias("ids"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), begin, step, lambda s: s["ids"])
+    return F.when(F.octet_length(word) > 0, let(literal, lambda t: let(first, lambda ids: fold(t, ids)))).otherwise(F.array().cast("array<int>"))
 
 
 def decode_column(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -135,20 +175,24 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
         split, found = splitter(pattern), set()
         for t in texts:
             found.update(split(t))
-        return {b: 0 for w in found if len(b := w.encode("utf-8")) <= fold_limit}
+        return [b for w in found if len(b := w.encode("utf-8")) <= fold_limit]
 
-    known = by_word(name_words(blocked, words)).select("blocks", encode_column(F.col("word"), ranks).alias("ids"))
+    named = name_words(blocked, words).groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    # Ids cross the shuffle in 16 bits where the vocabulary allows it.
+    short = max(ranks.values()) < 1 << 16
+    ids_of = encode_column(F.col("word"), ranks)
+    known = named.select("blocks", F.transform(ids_of, lambda i: (i - 32768).cast("short")).alias("ids") if short else ids_of.alias("ids"))
 
     def documents(table: pa.Table, encoded: pa.Table) -> pa.Table:
         split, (every, pieces) = splitter(pattern), _decoder(shared.value)
         of, back = {}, {}
-        ids_column = encoded.column("ids").combine_chunks()
-        flat, offsets = ids_column.flatten().to_numpy().astype("<u4"), ids_column.offsets.to_numpy() if len(ids_column) else []
-        start = offsets[0] if len(offsets) else 0
-        for k in range(len(encoded)):
-            own = flat[offsets[k] - start : offsets[k + 1] - start]
-            word = b"".join([pieces[i] for i in own])  # the ids alone say which word they are of
-            of[w := word.decode("utf-8")], back[w] = own.tobytes(), word
+        lists = encoded.column("ids").combine_chunks()
+        flat, ends = (lists.flatten().to_numpy().astype(np.int64) + 32768 * short).astype("<u4"), np.cumsum(lists.value_lengths().to_numpy()).tolist()
+        raw, own, start = flat.tobytes(), [pieces[i] for i in flat.tolist()], 0
+        for end in ends:
+            word = b"".join(own[start:end])  # the ids alone say which word they are of
+            of[w := word.decode("utf-8")], back[w] = raw[4 * start : 4 * end], word
+            start = end
         ids, decoded = [], []
         for t in unpacked(table):
             parts = split(t)
