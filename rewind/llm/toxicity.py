@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, durable, id_and_text, text_blocks
 
 LEXICONS, LEXICON_SIZE, VOCABULARY = 16, 256, 4096
-#: Evidence (twice the log likelihood ratio) a lexicon feature needs, and how many times as frequent in toxic texts it is.
-MIN_EVIDENCE, MIN_RATIO = 14.0, 4.0
+#: A lexicon feature needs evidence (twice the log likelihood ratio) of so many times the logarithm of the number of texts, and is so many times as frequent in toxic ones.
+EVIDENCE, MIN_RATIO = 2.5, 4.0
 HITS = (1, 2, 3, 5)
 _words = re.compile(r"[^\W\d_]+").findall
 _masked = re.compile(r"[^\W\d_][*#@$%]+[^\W\d_]")
@@ -159,7 +159,7 @@ def choose(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, int
     ranked = counts.filter(n >= 3).select("feature", "toxic", "clean", F.round(evidence, 9).alias("evidence"), ratio.alias("ratio")).orderBy(F.desc("evidence"), "feature").limit(VOCABULARY).collect()  # at most VOCABULARY rows
     leaning = [r for r in ranked if r["ratio"] > 1 and r["toxic"] > 1]
     # Few or noisy labels may leave no typical feature: then the best of all that lean to toxic.
-    typical = [r for r in leaning if r["evidence"] >= MIN_EVIDENCE and r["ratio"] >= MIN_RATIO] or leaning[:LEXICONS]
+    typical = [r for r in leaning if r["evidence"] >= EVIDENCE * math.log(n_toxic + n_clean) and r["ratio"] >= MIN_RATIO] or leaning[:LEXICONS]
     kept: dict[str, tuple[int, int]] = {}
     for f, toxic, clean, *_ in typical:
         stem = f.rstrip("~")
@@ -254,8 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_fold: int =
     if not all_toxic or not all_clean:
         return nothing
     wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))  # at most max_train_rows ids
-    # One text an id: however often an id is repeated, the sample stays bounded.
-    train = durable(id_and_text(docs, id_col, text_col).join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    # One text an id: however often an id is repeated, the sample stays bounded. Equal texts speak once.
+    one = id_and_text(docs, id_col, text_col).join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    train = durable(one.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text"))
     drawn = dict(train.groupBy("toxic").count().collect())
     n_toxic, n_clean = drawn.get(1, 0), drawn.get(0, 0)
     if not n_toxic or not n_clean:
