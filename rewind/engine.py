@@ -172,7 +172,7 @@ class Engine:
     def _undo_together(self, txids: list[int]) -> None:
         """Clean transactions in one pass over the log and one commit; each keeps an undo record of its own."""
         spark = self.store.spark
-        wanted = F.broadcast(spark.createDataFrame([(t,) for t in txids], "txid long"))  # the cohort that the caller listed
+        wanted = spark.createDataFrame([(t,) for t in txids], "txid long")
         rows = self.history().filter(~F.col("is_undo")).join(wanted, "txid", "left_semi").withColumn("phase", F.lit(1))
         last_txid = self.last()[1]
         with self.store.commit() as c:
@@ -186,7 +186,7 @@ class Engine:
             del c.tables["history"][before:]
             made = self.store.load(logged, "history")
             # Clean members share no key, so a key says whose compensation a record is.
-            named = made.join(origin, ["table_name", "pk_key"]).join(F.broadcast(own), "undone")
+            named = made.join(origin, ["table_name", "pk_key"]).join(own, "undone")
             c.append("history", named.withColumns({"txid": F.col("own"), "undo_of": F.col("undone")}).select(made.columns))
             c.append("undo_txn", spark.createDataFrame([(n, t, self.now()) for t, n in order.items()], SCHEMAS["undo_txn"]).coalesce(1))
 

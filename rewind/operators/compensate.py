@@ -24,7 +24,7 @@ def inverses(history: DataFrame, target: int, dependents: list[int] | None = Non
     own = rows.filter(F.col("txid") == target).withColumn("phase", F.lit(1))
     if dependents:
         others = history.sparkSession.createDataFrame([(t,) for t in dependents], "txid long")
-        own = own.unionByName(rows.join(F.broadcast(others), "txid", "left_semi").filter(F.col("txid") != target).withColumn("phase", F.lit(0)))  # the plan's list
+        own = own.unionByName(rows.join(others, "txid", "left_semi").filter(F.col("txid") != target).withColumn("phase", F.lit(0)))
     return own
 
 
@@ -82,5 +82,5 @@ def compensating_changes(rows: DataFrame, first_id: int, txid: int, undo_of: int
     before = Window.orderBy("phase", F.desc("txid")).rowsBetween(Window.unboundedPreceding, -1)  # one row a reversed transaction, as many as the plan lists
     starts = spans.withColumn("start", F.coalesce(F.sum("span").over(before), F.lit(0))).select("phase", "txid", "start", "top")
     op = F.when(F.col("op") == "I", "D").when(F.col("op") == "D", "I").otherwise("U")
-    joined = rows.join(F.broadcast(starts), ["phase", "txid"])
+    joined = rows.join(starts, ["phase", "txid"])
     return joined.select((F.lit(first_id) + F.col("start") + F.col("top") - F.col("id")).alias("id"), F.lit(txid).cast("long").alias("txid"), "table_name", op.alias("op"), F.col("row_after").alias("row_before"), F.col("row_before").alias("row_after"), F.lit(at).cast("timestamp").alias("committed_at"), F.lit(undo_of).cast("long").alias("undo_of"))

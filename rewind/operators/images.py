@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,7 +44,7 @@ def changes(rows: DataFrame, table: str, pk_cols: list[str], **stamps) -> DataFr
 def stamped(history: DataFrame, undo_txn: DataFrame) -> DataFrame:
     """History with is_undo and undo_of of the transactions registered as undos."""
     marks = undo_txn.groupBy("txid").agg(F.min("undo_of").alias("of"))
-    joined = history.join(F.broadcast(marks), "txid", "left")  # one row an undo that was ever made
+    joined = history.join(marks, "txid", "left")
     return joined.withColumns({"is_undo": F.col("is_undo") | F.col("of").isNotNull(), "undo_of": F.coalesce("undo_of", "of")}).select(history.columns)
 
 
@@ -65,8 +65,6 @@ def reference_summary(history: DataFrame, samples: int = 50) -> DataFrame:
     by_kind = refs.groupBy("txid", "kind").agg(F.count("*").alias("n"))
     kinds = by_kind.groupBy("txid").agg(F.sum("n").alias("count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"))
     # Ranked before they are gathered: no list is longer than the number of samples.
-    from pyspark.sql import Window
-
     first = refs.withColumn("at", F.row_number().over(Window.partitionBy("txid").orderBy("kind", "column", "value"))).filter(F.col("at") <= samples)
     shown = first.groupBy("txid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "column", "value", "kind"))), lambda s: F.struct(s["column"].alias("column"), s["value"].alias("value"), s["kind"].alias("kind"))).alias("samples"))
     return kinds.join(shown, "txid")

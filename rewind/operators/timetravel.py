@@ -44,7 +44,7 @@ def pick_snapshot(catalog: DataFrame, targets: DataFrame, span: int = 1 << 20) -
     """Per target (target_lsn) the newest unpruned snapshot with lsn null or at most the target.
 
     Positions are cut into spans. Within one, the newest so far is a running maximum; what
-    earlier spans carry over is a running maximum over one row a span, which is broadcast.
+    earlier spans carry over is a running maximum over one row a span.
     """
     usable = catalog.filter("NOT pruned").select(F.coalesce("lsn", F.lit(0)).cast("long").alias("lsn"), F.col("id").alias("snapshot"))
     wanted = targets.select(F.col("target_lsn").cast("long").alias("lsn")).distinct()
@@ -53,7 +53,7 @@ def pick_snapshot(catalog: DataFrame, targets: DataFrame, span: int = 1 << 20) -
     within = rows.withColumn("here", F.max("snapshot").over(Window.partitionBy("span").orderBy("lsn")))  # of equal positions all
     earlier = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
     carried = rows.groupBy("span").agg(F.max("snapshot").alias("top")).select("span", F.max("top").over(earlier).alias("carried"))
-    found = within.filter("target").join(F.broadcast(carried), "span").select("lsn", F.greatest("here", "carried").alias("snapshot_id"))
+    found = within.filter("target").join(carried, "span").select("lsn", F.greatest("here", "carried").alias("snapshot_id"))
     return targets.join(found.withColumnRenamed("lsn", "target_lsn"), "target_lsn").select("target_lsn", "snapshot_id")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .catalog import canonical
 from .engine import Engine
 from .operators.images import typed
-from .operators.timetravel import prunable, recover_column, recover_rows
+from .operators.timetravel import prunable, recover_rows
 from .schema import SCHEMAS
 
 
@@ -200,5 +200,3 @@ class Snapshots:
         live = self.engine.table(name).drop(column)
         return self._recover("column", name, target, live.join(before.select(*pk, column), list(pk), "left").select(*live.columns, column), snapshot)
 
-
-__all__ = ["NoSnapshot", "Snapshots", "archive_status", "recover_column", "should_snapshot"]

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import pk_text, xid32
-from ..schema import SCHEMAS
 
 TUPLE, PAGE, RELATION = 2, 1, 0
 
@@ -59,5 +58,3 @@ def forward(reads: DataFrame, store) -> int:
             c.append("read_set", reads.select(*store.read("read_set").columns))
     return n
 
-
-__all__ = ["SCHEMAS", "drain", "forward", "harvest", "hex_text", "resolved", "unhex_text"]
