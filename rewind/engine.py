@@ -200,7 +200,7 @@ class Engine:
                 c.append("read_set", drained.select(*self.store.read("read_set").columns))
         h, reads = self.history(), self.store.read("read_set")
         h = h.withColumn("blk", F.col("tid.blk")) if match_blocks else h
-        found = deps.best_edges(deps.rw_edges(h, reads, match_blocks=match_blocks)).select("txid", "depends_on", "table_name", "granularity")
+        found = deps.best_rw_edges(h, reads, match_blocks=match_blocks).select("txid", "depends_on", "table_name", "granularity")
         old = self.store.read("dependencies").filter("kind = 'rw'").select("txid", "depends_on", "table_name", "granularity")
         both = deps.best_edges(old.unionByName(found)).select("txid", "depends_on", F.lit("rw").alias("kind"), "table_name", "granularity")
         derived = found.count()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import granularity_rank, lock_granularity, xid32
 from .log import tracked_writes
 
+#: Readers that a span of a writer meets at once, about; copies of what meets writers of one table or class, so that no task has them all.
+BLOCK, SALTS = 512, 8
+
 
 def ww_conflicts(history: DataFrame, txid: int | None = None) -> DataFrame:
     """(txid, depends_on): later writers of a key that depends_on wrote. One target or all."""
@@ -24,6 +27,107 @@ def readers(history: DataFrame) -> DataFrame:
     return by_txid.groupBy("reader_xid").agg(first).select("reader_xid", F.col("r.txid").alias("txid"), F.col("r.read_at").alias("read_at"))
 
 
+def _resolved(history: DataFrame, read_set: DataFrame, match_blocks: bool, since=None) -> DataFrame:
+    """Reads with their transaction and its last commit; since: only of those that committed at or after it."""
+    known = readers(history)
+    known = known if since is None else known.filter(F.col("read_at") >= since)
+    columns = ["table_name", "read_pk", "locktype", "txid", "read_at"] + ["blk"] * match_blocks
+    return read_set.join(known, "reader_xid").select(*columns).distinct()
+
+
+def _precise() -> Column:
+    return (F.col("locktype") == 2) & F.col("read_pk").isNotNull()
+
+
+def _exact_edges(reads: DataFrame, h: DataFrame) -> DataFrame:
+    """Distinct (txid, depends_on, table_name) of reads that met writes on a key."""
+    writes = h.groupBy("table_name", "pk_text", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
+    guard = (F.col("read_at") >= F.col("written_at")) & (F.col("txid") != F.col("depends_on"))
+    return reads.filter(_precise()).withColumnRenamed("read_pk", "pk_text").join(writes, ["table_name", "pk_text"]).filter(guard).select("txid", "depends_on", "table_name").distinct()
+
+
+def _wide_reads(reads: DataFrame, match_blocks: bool, whole_reader: bool) -> DataFrame:
+    """(cls, members, txid, read_at): reads that meet more than a key, by what they read.
+
+    A member is (rank, table_name, granularity, blks), without blks if the whole table is read. A
+    class is one member or, if whole_reader, all of a reader's members, most precise first; cls
+    is its digest.
+    """
+    wide = reads.filter(~_precise() | F.col("read_pk").isNull()).withColumn("granularity", lock_granularity(F.col("locktype")))
+    page = F.when(F.col("locktype") == 1, F.col("blk")) if match_blocks else F.lit(None).cast("long")
+    grouped = wide.withColumn("page", page).groupBy("txid", "read_at", "table_name", "granularity").agg(F.bool_or(F.col("page").isNull()).alias("whole"), F.array_sort(F.collect_set("page")).alias("pages"))
+    member = F.struct(granularity_rank(F.col("granularity")).alias("rank"), "table_name", "granularity", F.when(~F.col("whole"), F.col("pages")).alias("blks"))
+    if whole_reader:
+        out = grouped.groupBy("txid", "read_at").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    else:
+        out = grouped.select("txid", "read_at", F.array(member).alias("members"))
+    return out.select(F.unhex(F.sha2(F.to_json("members"), 256)).alias("cls"), "members", "txid", "read_at")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """A copy of each row for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt() -> Column:
+    return F.pmod(F.hash("depends_on"), F.lit(SALTS))
+
+
+def _spans(wide: DataFrame, h: DataFrame, match_blocks: bool) -> DataFrame:
+    """(cls, depends_on, rank, table_name, granularity, since, until): when a writer is met by readers of a class, and by which member.
+
+    A read at or after since, and before until if there is one, meets it by that member and by no
+    more precise one, so spans of a writer don't overlap: no pair is found twice.
+    """
+    members = wide.groupBy("cls").agg(F.first("members").alias("members")).select("cls", F.posexplode("members").alias("pos", "m")).select("cls", "pos", "m.*")
+    by_table = h.groupBy("table_name", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("at")).withColumn("salt", _salt())
+    on = ["cls", "pos", "rank", "table_name", "granularity", "depends_on"]
+    met = by_table.join(_salted(members.filter("blks IS NULL")), ["table_name", "salt"]).select(*on, "at")
+    if match_blocks:
+        placed = h.groupBy("table_name", "blk", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("at")).withColumn("salt", _salt())
+        paged = members.filter("blks IS NOT NULL")
+        in_block = placed.join(_salted(paged.withColumn("blk", F.explode("blks"))), ["table_name", "blk", "salt"]).select(*on, "at")
+        anywhere = placed.filter("blk IS NULL").drop("blk").join(_salted(paged), ["table_name", "salt"]).select(*on, "at")
+        met = met.unionByName(in_block.unionByName(anywhere).groupBy(*on).agg(F.min("at").alias("at")))
+    before = Window.partitionBy("cls", "depends_on").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    spans = met.withColumn("until", F.min("at").over(before)).filter("until IS NULL OR at < until")
+    return spans.select("cls", "depends_on", "rank", "table_name", "granularity", F.col("at").alias("since"), "until")
+
+
+def _within() -> Column:
+    return (F.col("read_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("read_at") < F.col("until")))
+
+
+def _met_by(pairs: DataFrame, wide: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of the pairs (txid, depends_on), those that wide reads meet, with the columns of the span."""
+    return pairs.join(wide.select("txid", "cls", "read_at"), "txid").join(spans, ["cls", "depends_on"]).filter(_within())
+
+
+def _list_pairs(wide: DataFrame, spans: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """(txid, depends_on, table_name, granularity, rank): every reader of a class with every writer whose span it is in, but not the pairs of skip.
+
+    Each pair is made once, so none is shuffled: readers of a class are put together in blocks of
+    neighbours in time, at most some BLOCK of them; a span goes to the blocks it overlaps, and is
+    unfolded there. What moves is a row for each span and block.
+    """
+    hour = F.date_trunc("hour", "read_at")
+    per_hour = wide.groupBy("cls", hour.alias("hour")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    deal = per_hour.select("cls", "hour", F.floor(before / BLOCK).alias("part"), F.ceil(F.col("n") / BLOCK).alias("ways"))
+    dealt = wide.select("cls", hour.alias("hour"), "txid", "read_at").join(deal, ["cls", "hour"]).withColumn("sub", F.pmod(F.hash("txid"), F.col("ways").cast("int"))).select("cls", "part", "sub", "txid", "read_at")
+    key = ["cls", "part", "sub"]
+    blocks = dealt.groupBy(*key).agg(F.collect_list(F.struct("txid", "read_at")).alias("block"), F.min("read_at").alias("lo"), F.max("read_at").alias("hi"))
+    near = (F.col("hi") >= F.col("since")) & (F.col("until").isNull() | (F.col("lo") < F.col("until")))
+    tiles = spans.withColumn("salt", _salt()).join(_salted(blocks.select(*key, "lo", "hi")), ["cls", "salt"]).filter(near).drop("lo", "hi")
+    keep = (F.col("txid") != F.col("depends_on")) & _within()
+    if skip is not None:
+        without = skip.join(dealt.drop("read_at"), "txid").groupBy(*key, "depends_on").agg(F.collect_list("txid").alias("without"))
+        tiles = tiles.join(without, [*key, "depends_on"], "left")
+        keep = keep & (F.col("without").isNull() | ~F.array_contains("without", F.col("txid")))
+    met = tiles.join(_salted(blocks.select(*key, "block")), [*key, "salt"])
+    return met.select(*[c for c in tiles.columns if c not in (*key, "salt")], F.inline("block")).filter(keep).select("txid", "depends_on", "table_name", "granularity", "rank")
+
+
 def rw_edges(history: DataFrame, read_set: DataFrame, *, exact: bool = True, coarse: bool = True, target: int | None = None, match_blocks: bool = False) -> DataFrame:
     """(txid, depends_on, table_name, granularity): reader, writer and how precisely they met.
 
@@ -34,31 +138,41 @@ def rw_edges(history: DataFrame, read_set: DataFrame, *, exact: bool = True, coa
     those without a block; else, like any coarse read, all writes of its table. target: only
     edges to that writer.
     """
-    columns = ["table_name", "read_pk", "locktype", "txid", "read_at"] + ["blk"] * match_blocks
-    reads = read_set.join(readers(history), "reader_xid").select(*columns).distinct()
+    reads = _resolved(history, read_set, match_blocks)
     h = tracked_writes(history)
     h = h if target is None else h.filter(F.col("txid") == target)
-    writes = h.groupBy("table_name", "pk_text", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
-    guard = (F.col("read_at") >= F.col("written_at")) & (F.col("txid") != F.col("depends_on"))
-    precise = (F.col("locktype") == 2) & F.col("read_pk").isNotNull()
-    parts = []
-    if exact:
-        parts.append(reads.filter(precise).withColumnRenamed("read_pk", "pk_text").join(writes, ["table_name", "pk_text"]).filter(guard))
+    keyed = _exact_edges(reads, h) if exact else None
     if coarse:
-        tables = writes.groupBy("table_name", "depends_on").agg(F.min("written_at").alias("written_at"))
-        wide = ~precise | F.col("read_pk").isNull()
-        whole = reads.filter(wide & ~((F.col("locktype") == 1) & F.col("blk").isNotNull()) if match_blocks else wide)
-        parts.append(whole.select("table_name", "locktype", "txid", "read_at").distinct().join(tables, "table_name").filter(guard))
-        if match_blocks:
-            pages = reads.filter((F.col("locktype") == 1) & F.col("blk").isNotNull()).select("table_name", "blk", "locktype", "txid", "read_at").distinct()
-            placed = h.groupBy("table_name", "blk", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
-            parts.append(pages.join(placed.filter("blk IS NOT NULL"), ["table_name", "blk"]).filter(guard))
-            parts.append(pages.join(placed.filter("blk IS NULL").drop("blk"), "table_name").filter(guard))
-    edges = [p.select("txid", "depends_on", "table_name", lock_granularity(F.col("locktype")).alias("granularity")) for p in parts]
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out.distinct()
+        wide = _wide_reads(reads, match_blocks, False)
+        listed = _list_pairs(wide, _spans(wide, h, match_blocks)).drop("rank")
+        if not exact:
+            return listed
+        # A reader of the whole table with this label meets the writer there too.
+        whole = wide.filter(F.col("members")[0]["rank"] == 1).select("txid", F.col("members")[0]["table_name"].alias("table_name"))
+        keyed = keyed.join(whole, ["txid", "table_name"], "left_anti")
+    tuples = keyed.select("txid", "depends_on", "table_name", F.lit("tuple").alias("granularity"))
+    return tuples.unionByName(listed) if coarse else tuples
+
+
+def _best_parts(history: DataFrame, read_set: DataFrame, *, also: DataFrame | None = None, target: int | None = None, match_blocks: bool = False, since=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(near, far, wide, spans): the best edges of pairs that met on a key or are in also; those of all others; what the others come from."""
+    reads = _resolved(history, read_set, match_blocks, since)
+    h = tracked_writes(history)
+    h = h if target is None else h.filter(F.col("txid") == target)
+    keyed = _exact_edges(reads, h)
+    wide = _wide_reads(reads, match_blocks, True)
+    spans = _spans(wide, h, match_blocks)
+    pairs = keyed.select("txid", "depends_on")
+    pairs = (pairs if also is None else pairs.unionByName(also)).distinct()
+    columns = ["txid", "depends_on", "table_name", "granularity"]
+    near = best_edges(keyed.withColumn("granularity", F.lit("tuple")).unionByName(_met_by(pairs, wide, spans).select(columns)))
+    return near, _list_pairs(wide, spans, pairs), wide, spans
+
+
+def best_rw_edges(history: DataFrame, read_set: DataFrame, *, target: int | None = None, match_blocks: bool = False, since=None) -> DataFrame:
+    """best_edges(rw_edges(...)), with no shuffle of coarse pairs. since: only edges whose reader last committed at or after it."""
+    near, far, *_ = _best_parts(history, read_set, target=target, match_blocks=match_blocks, since=since)
+    return near.unionByName(far)
 
 
 def best_edges(edges: DataFrame) -> DataFrame:
@@ -74,11 +188,77 @@ def upgrade_edges(stored: DataFrame, derived: DataFrame) -> DataFrame:
     return tagged.groupBy("txid", "depends_on").agg(best).select("txid", "depends_on", F.col("b.granularity").alias("granularity"))
 
 
+def upgraded_edges(history: DataFrame, read_set: DataFrame) -> DataFrame:
+    """upgrade_edges of the stored coarse edges by the derived ones of all reads.
+
+    Only a pair that met on a key can have a more precise edge than it had, so the upsert is done
+    on those; every other coarse edge stays as it is.
+    """
+    reads, h = _resolved(history, read_set, False), tracked_writes(history)
+    keyed, wide = _exact_edges(reads, h), _wide_reads(reads, False, True)
+    spans, pairs = _spans(wide, h, False), keyed.select("txid", "depends_on").distinct()
+    upserted = upgrade_edges(_met_by(pairs, wide, spans), best_edges(keyed.withColumn("granularity", F.lit("tuple"))))
+    return upserted.unionByName(_list_pairs(wide, spans, pairs).select(upserted.columns))
+
+
+def _ww_rows(ww: DataFrame) -> DataFrame:
+    return ww.select("txid", "depends_on", F.lit("ww").alias("kind"), F.lit(None).cast("string").alias("granularity"), F.lit(None).cast("string").alias("table_name"))
+
+
+def _rw_rows(edges: DataFrame) -> DataFrame:
+    return edges.select("txid", "depends_on", F.lit("rw").alias("kind"), "granularity", "table_name")
+
+
 def conflicts(history: DataFrame, read_set: DataFrame, target: int | None = None, match_blocks: bool = False) -> DataFrame:
     """(txid, depends_on, kind, granularity, table_name) of both kinds, for one target or all."""
-    ww = ww_conflicts(history, target).select("txid", "depends_on", F.lit("ww").alias("kind"), F.lit(None).cast("string").alias("granularity"), F.lit(None).cast("string").alias("table_name"))
-    rw = best_edges(rw_edges(history, read_set, target=target, match_blocks=match_blocks)).select("txid", "depends_on", F.lit("rw").alias("kind"), "granularity", "table_name")
-    return ww.unionByName(rw)
+    return _ww_rows(ww_conflicts(history, target)).unionByName(_rw_rows(best_rw_edges(history, read_set, target=target, match_blocks=match_blocks)))
+
+
+def conflict_precision(history: DataFrame, read_set: DataFrame) -> DataFrame:
+    """precision(conflicts(...)): a pair met by wide reads alone is one conflict, so only the others are grouped."""
+    ww = ww_conflicts(history)
+    near, far, *_ = _best_parts(history, read_set, also=ww)
+    grouped = precision(_ww_rows(ww).unionByName(_rw_rows(near)))
+    alone = far.select("txid", "depends_on", F.lit("rw").alias("kinds"), F.when(F.col("rank") == 1, "exact").otherwise("over-approx").alias("precision"), F.col("granularity").alias("rw_granularity"))
+    return grouped.unionByName(alone)
+
+
+def _reads_in(wide: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans with n, the number of their class's reads within them.
+
+    Reads at or after a time are those of later hours, summed once for each hour, and the later
+    ones of its own hour; a span has the difference of its two ends.
+    """
+    ends = spans.withColumn("end", F.explode(F.filter(F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("sign"))), lambda e: e["at"].isNotNull())))
+    given = ["depends_on", "rank", "table_name", "granularity", "since", "until"]
+    points = ends.select("cls", F.col("end.at").alias("at"), F.col("end.sign").alias("sign"), *given, F.lit(0).alias("read"))
+    both = points.unionByName(wide.select("cls", F.col("read_at").alias("at"), F.lit(1).alias("read")), allowMissingColumns=True).withColumn("hour", F.date_trunc("hour", "at"))
+    here = both.withColumn("here", F.sum("read").over(Window.partitionBy("cls", "hour").orderBy(F.desc("at"))))  # reads at the same time count
+    hours = both.groupBy("cls", "hour").agg(F.sum("read").alias("n"))
+    later = hours.withColumn("later", F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counted = here.filter("read = 0").join(later.select("cls", "hour", "later"), ["cls", "hour"])
+    return counted.groupBy("cls", *given).agg(F.sum(F.col("sign") * (F.col("here") + F.col("later"))).alias("n"))
+
+
+def precision_counts(history: DataFrame, read_set: DataFrame) -> DataFrame:
+    """precision_summary(conflicts(...)) without listing the coarse conflicts: a span's readers are counted, less those listed and the writer itself."""
+    ww = ww_conflicts(history)
+    near, _, wide, spans = _best_parts(history, read_set, also=ww)
+    listed = near.select("txid", "depends_on").unionByName(ww).distinct()
+    own = wide.select("txid", F.col("txid").alias("depends_on"))
+    on = ["cls", "depends_on", "rank", "table_name"]
+    less = _met_by(listed.unionByName(own), wide, spans).groupBy(*on).agg(F.count("*").alias("less"))
+    far = _reads_in(wide, spans).join(less, on, "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).filter("n > 0")
+    none = F.lit(None).cast("string")
+    coarse = F.when(F.col("rank") > 1, F.col("table_name"))
+    parts = (
+        listed.select("depends_on", F.lit(1).alias("exact"), F.lit(0).alias("over"), none.alias("t")),
+        near.select("depends_on", F.lit(0).alias("exact"), F.lit(0).alias("over"), coarse.alias("t")),
+        far.select("depends_on", F.when(F.col("rank") == 1, F.col("n")).otherwise(0).alias("exact"), F.when(F.col("rank") > 1, F.col("n")).otherwise(0).alias("over"), coarse.alias("t")),
+    )
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    total = lambda c: F.sum(c).cast("long").alias(f"{c}_dependents" if c == "exact" else "over_approx_dependents")
+    return every.groupBy(F.col("depends_on").alias("txid")).agg(total("exact"), total("over"), F.array_join(F.array_sort(F.collect_set("t")), ",").alias("coarse_tables"))
 
 
 def precision(all_conflicts: DataFrame) -> DataFrame:
