@@ -105,7 +105,7 @@ def rw_edges_coarse(spark, sf):
 
 @query(f"{R} SELECT txid, depends_on, table_name, granularity, CAST(rank AS BIGINT) AS rank FROM best")
 def rw_edges_best(spark, sf):
-    return longs(deps.best_edges(deps.rw_edges(history(spark, sf), read_set(spark, sf))))
+    return longs(deps.best_rw_edges(history(spark, sf), read_set(spark, sf)))
 
 
 @query(f"{R} SELECT * FROM allc")
@@ -125,7 +125,7 @@ def precision_summary(spark, sf):
 
 @query(f"{R} SELECT table_name, count(*) AS coarse_edges, count(DISTINCT txid) AS readers, count(DISTINCT depends_on) AS over_approx_writers, count(*) FILTER (WHERE granularity = 'page') AS page_edges, count(*) FILTER (WHERE granularity = 'relation') AS relation_edges FROM best WHERE granularity IN ('page', 'relation') GROUP BY ALL")
 def coarse_dependencies(spark, sf):
-    return deps.coarse_report(deps.best_edges(deps.rw_edges(history(spark, sf), read_set(spark, sf))))
+    return deps.coarse_report(deps.best_rw_edges(history(spark, sf), read_set(spark, sf)))
 
 
 @query(f"{R} SELECT reader_xid, txid, read_at FROM reader")
