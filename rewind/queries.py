@@ -115,7 +115,7 @@ def all_conflicts(spark, sf):
 
 @query(f"{R} SELECT * FROM prec")
 def conflict_precision(spark, sf):
-    return deps.precision(deps.conflicts(history(spark, sf), read_set(spark, sf)))
+    return deps.conflict_precision(history(spark, sf), read_set(spark, sf))
 
 
 @query(f"{R}, ct AS (SELECT depends_on, string_agg(DISTINCT table_name, ',' ORDER BY table_name) AS t FROM allc WHERE kind = 'rw' AND granularity IN ('page', 'relation') GROUP BY ALL) SELECT p.depends_on AS txid, count(*) FILTER (WHERE precision = 'exact') AS exact_dependents, count(*) FILTER (WHERE precision = 'over-approx') AS over_approx_dependents, coalesce(min(ct.t), '') AS coarse_tables FROM prec p LEFT JOIN ct ON ct.depends_on = p.depends_on GROUP BY p.depends_on")
