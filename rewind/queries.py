@@ -141,9 +141,7 @@ def age_read_edges(spark, sf):
 
 @query(f"{R} SELECT txid, depends_on, granularity FROM best")
 def edge_upgrade(spark, sf):
-    h, r = history(spark, sf), read_set(spark, sf)
-    stored = deps.best_edges(deps.rw_edges(h, r, exact=False))
-    return deps.upgrade_edges(stored, deps.best_edges(deps.rw_edges(h, r)))
+    return deps.upgraded_edges(history(spark, sf), read_set(spark, sf))
 
 
 @query(f"{R} SELECT h.txid, count(*) AS changes, CASE WHEN h.txid IN (SELECT txid FROM dep) THEN 'dependent' ELSE 'clean' END AS classification FROM h GROUP BY h.txid")
