@@ -135,8 +135,7 @@ def reader_xid_resolution(spark, sf):
 
 @query(f"{R} SELECT txid, depends_on, granularity FROM best WHERE txid NOT IN (SELECT txid FROM h GROUP BY txid HAVING max(committed_at) < TIMESTAMP '{WEEK}')")
 def age_read_edges(spark, sf):
-    h = history(spark, sf)
-    return deps.age_edges(deps.best_edges(deps.rw_edges(h, read_set(spark, sf))), h, F.lit(WEEK).cast("timestamp_ntz")).select("txid", "depends_on", "granularity")
+    return deps.best_rw_edges(history(spark, sf), read_set(spark, sf), since=F.lit(WEEK).cast("timestamp_ntz")).select("txid", "depends_on", "granularity")
 
 
 @query(f"{R} SELECT txid, depends_on, granularity FROM best")
