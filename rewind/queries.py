@@ -120,7 +120,7 @@ def conflict_precision(spark, sf):
 
 @query(f"{R}, ct AS (SELECT depends_on, string_agg(DISTINCT table_name, ',' ORDER BY table_name) AS t FROM allc WHERE kind = 'rw' AND granularity IN ('page', 'relation') GROUP BY ALL) SELECT p.depends_on AS txid, count(*) FILTER (WHERE precision = 'exact') AS exact_dependents, count(*) FILTER (WHERE precision = 'over-approx') AS over_approx_dependents, coalesce(min(ct.t), '') AS coarse_tables FROM prec p LEFT JOIN ct ON ct.depends_on = p.depends_on GROUP BY p.depends_on")
 def precision_summary(spark, sf):
-    return deps.precision_summary(deps.conflicts(history(spark, sf), read_set(spark, sf)))
+    return deps.precision_counts(history(spark, sf), read_set(spark, sf))
 
 
 @query(f"{R} SELECT table_name, count(*) AS coarse_edges, count(DISTINCT txid) AS readers, count(DISTINCT depends_on) AS over_approx_writers, count(*) FILTER (WHERE granularity = 'page') AS page_edges, count(*) FILTER (WHERE granularity = 'relation') AS relation_edges FROM best WHERE granularity IN ('page', 'relation') GROUP BY ALL")

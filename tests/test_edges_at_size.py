@@ -13,7 +13,7 @@ from rewind.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 #: Queries that return the pairs, and those that need not list them.
 LISTED = ("rw_edges_coarse", "rw_edges_by_block", "all_conflicts", "rw_edges_best", "conflict_precision", "edge_upgrade", "age_read_edges")
-COUNTED = ()
+COUNTED = ("precision_summary",)
 START = datetime(2024, 1, 1)
 
 
