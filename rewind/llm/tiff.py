@@ -17,6 +17,7 @@ their pages; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import arrow_map, id_and_text, text_blocks
 
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 1024, 64
+#: Digests that leave a worker at once, at least.
+ROWS_OUT = 256
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Bytes of a page at most, and how many a byte of any packing can stand for at most (LZW: 12 bits for the longest entry).
 MAX_PAGE, MAX_RATIO = 1 << 30, 2800
@@ -280,67 +282,91 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes | None,
         page += 1
 
 
-def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8, padded with zeros to a positive multiple of 64, as TIFF."""
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_bytes, media of an id_and_text table."""
+    for ids, texts in text_blocks(batches):
+        raw = [t.encode("utf-8") for t in texts]
+        media = [write_tiff(b.ljust(max(1, -(-len(b) // WIDTH)) * WIDTH, b"\0")) for b in raw]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
+def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of the files in the last column, each with the other columns."""
+    for batch in batches:
+        others = batch.schema.names[:-1]
+        for k in range(batch.num_rows):
+            data = batch.column(len(others))[k].as_py()
+            found = list(read_pages(data)) if data else []
+            if found:
+                own = [pa.array(batch.column(j)[k : k + 1].to_pylist() * len(found), batch.schema.field(j).type) for j in range(len(others))]
+                p, w, h, c, s, e = zip(*found, strict=True)
+                ints = [pa.array(x, pa.int32()) for x in (p, [len(found)] * len(found), w, h, c)]
+                yield pa.RecordBatch.from_arrays([*own, *ints, pa.array(s, pa.binary()), pa.array(e, pa.string())], [*others, "page", "n_pages", "width", "height", "channels", "samples", "error"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of _stored with the length and digest of each file before it."""
+    for batch in batches:
+        media = batch.column(2).to_pylist()
+        marks = [pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *marks, batch.column(2)], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "media"])
+
+
+#: What _digested gives.
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per file of pages that come in order, about ROWS_OUT at a time."""
+    parts: list[bytes] = []
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["page"] == 0:
+                parts = []
+            if r["error"]:
+                raise ValueError(f"page {r['page']} of {r['doc_id']}: {r['error']}")
+            parts.append(r["samples"])
+            if r["page"] + 1 == r["n_pages"]:
+                payload = b"".join(parts)
+                counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+                share = counts[counts > 0] / len(payload)
+                feature = f"pages={r['n_pages']};width={r['width']};mean={np.dot(counts, np.arange(256)) / len(payload):.4f};entropy={-float((share * np.log2(share)).sum()) + 0.0:.4f};values={len(share)}"
+                out.append((r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), r["media_bytes"], r["media_sha256"], feature))
+        if len(out) >= ROWS_OUT:
+            yield flush()
+            out.clear()
+    if out:
+        yield flush()
 
-    def store(batches):
-        for ids, texts in text_blocks(batches):
-            raw = [t.encode("utf-8") for t in texts]
-            media = [write_tiff(b.ljust(max(1, -(-len(b) // WIDTH)) * WIDTH, b"\0")) for b in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return arrow_map(id_and_text(docs, id_col, text_col), store, "doc_id long, n_bytes long, media binary")
+def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, media: each text's UTF-8, padded with zeros to a positive multiple of 64, as TIFF."""
+    return arrow_map(id_and_text(docs, id_col, text_col), _stored, "doc_id long, n_bytes long, media binary")
 
 
 def tiff_pages(media: DataFrame, *, media_col: str = "media") -> DataFrame:
     """One row per page, in the order of the files: the other columns and page, n_pages, width, height, channels, samples, error."""
     others = [c for c in media.columns if c != media_col]
     schema = ", ".join([f"`{c}` {media.schema[c].dataType.simpleString()}" for c in others] + ["page int, n_pages int, width int, height int, channels int, samples binary, error string"])
-
-    def pages(batches):
-        for batch in batches:
-            for k, data in enumerate(batch.column(len(others)).to_pylist()):
-                found = list(read_pages(data)) if data else []
-                if found:
-                    own = [pa.array(batch.column(j)[k : k + 1].to_pylist() * len(found), batch.schema.field(j).type) for j in range(len(others))]
-                    p, w, h, c, s, e = zip(*found, strict=True)
-                    ints = [pa.array(x, pa.int32()) for x in (p, [len(found)] * len(found), w, h, c)]
-                    yield pa.RecordBatch.from_arrays([*own, *ints, pa.array(s, pa.binary()), pa.array(e, pa.string())], [*others, "page", "n_pages", "width", "height", "channels", "samples", "error"])
-
-    return arrow_map(media.select(*others, media_col), pages, schema)
+    return arrow_map(media.select(*others, media_col), _paged, schema)
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
     """Per file of tiff_pages over store_texts: what its samples say, from rows as they come (no shuffle)."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    def digest(batches):
-        import hashlib
-
-        parts: list[bytes] = []
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["page"] == 0:
-                    parts = []
-                if r["error"]:
-                    raise ValueError(f"page {r['page']} of {r['doc_id']}: {r['error']}")
-                parts.append(r["samples"])
-                if r["page"] + 1 == r["n_pages"]:
-                    payload = b"".join(parts)
-                    counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                    share = counts[counts > 0] / len(payload)
-                    feature = f"pages={r['n_pages']};width={r['width']};mean={np.dot(counts, np.arange(256)) / len(payload):.4f};entropy={-float((share * np.log2(share)).sum()) + 0.0:.4f};values={len(share)}"
-                    out.append((r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), r["media_bytes"], r["media_sha256"], feature))
-            if out:
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    return arrow_map(pages, digest, schema)
-
-
-def media_round_trip(docs: DataFrame, **columns) -> DataFrame:
-    """Store every text, read the stored bytes back page by page, digest the pages."""
-    stored = store_texts(docs, **columns).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    return page_digests(tiff_pages(stored))
+    return arrow_map(pages, _digested, DIGESTS)
+
+
+def media_round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store every text, read the stored bytes back page by page, digest the pages.
+
+    The same steps as page_digests over tiff_pages over store_texts, in one worker for each task:
+    three in a row hold three workers' memory, and every file and page crosses to the JVM and back.
+    """
+    return arrow_map(id_and_text(docs, id_col, text_col), lambda batches: _digested(_paged(_marked(_stored(batches)))), DIGESTS)

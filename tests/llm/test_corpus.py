@@ -520,3 +520,13 @@ def test_signatures_meet_for_every_link():
             both = len(np.intersect1d(x, y))
             if 100 * both >= 85 * (len(x) + len(y) - both):
                 assert set(ngram_join.signatures(x, 85)) & set(ngram_join.signatures(y, 85))
+
+
+def test_media_takes_one_worker_a_task(spark):
+    """Store, read and digest in one pass over Python give what the three operators give one after another."""
+    rows = [(1, ""), (2, None), (3, "a" * 70_000 + "ü"), (4, "word " * 30), (5, "word " * 30)] + [(k, f"text {k} " * (k % 50)) for k in range(6, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = tiff.media_round_trip(docs)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    stored = tiff.store_texts(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tiff.page_digests(tiff.tiff_pages(stored)).collect())) and got.count() == len(rows)
