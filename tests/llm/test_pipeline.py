@@ -54,3 +54,18 @@ def test_verdicts_are_of_rows(spark):
     bare = real.filter(f"doc_id = {clean[0]}").selectExpr("cast(null as long) doc_id", "concat(text, ' ') text", "lang", "source", "n_chars")
     kept = corpus_pipeline.drop_toxic(spark, real.unionByName(extra).unionByName(bare), SF).collect()
     assert sum(r.doc_id is None for r in kept) == 1 and extra.first().text not in {r.text for r in kept}
+
+
+def test_quality_stage_stores_nothing(spark):
+    """Its verdicts are filtered above the measurements, with no stored copy of the corpus, and are those of the ledger."""
+    from rewind.llm import quality
+
+    docs = documents(spark, SF)
+    kept = corpus_pipeline.drop_low_quality(spark, docs, SF)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "ExistingRDD" not in plan
+    lines = [x.strip(" +-:") for x in plan.splitlines()]
+    assert sum(x.startswith("Filter") for x in lines) == 1
+    assert "monotonically_increasing_id" in lines[next(i for i, x in enumerate(lines) if x.startswith("Filter")) + 1]
+    want = {r.doc_id for r in quality.quality_verdicts(docs).filter("kept").collect()}
+    assert {r.doc_id for r in kept.collect()} == want and 0 < len(want) < docs.count()
