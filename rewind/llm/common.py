@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver find out what is no longer referred to, on which Spark deletes its shuffle files.
+
+    Else they lie on disk until the driver happens to collect its garbage, long after a large
+    step is stored. It takes a fraction of a second, so it is for large steps only.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable, id_and_text, text_blocks
+from .common import arrow_map, durable, id_and_text, release, text_blocks
 from .components import contract
 from .lattice_lm import words_of
 
@@ -222,14 +222,18 @@ def near_classes(texts: DataFrame, width: int, percent: int) -> DataFrame:
     signed = arrow_map(texts, _signed(width, percent), "sig long, doc long")
     bucket = Window.partitionBy("sig")
     met = durable(signed.select("sig", "doc", F.count("*").over(bucket).alias("n"), F.min("doc").over(bucket).alias("least"), F.max("doc").over(bucket).alias("most"), F.bit_xor(F.xxhash64("doc")).over(bucket).alias("members")).filter("least < most"))
+    release(texts.sparkSession)  # of all signatures
     alike = met.groupBy("least", "n", "members").agg(F.min("sig").alias("sig"))
     kept = met.join(alike.select("sig"), "sig", "left_semi").select("sig", "doc", "n").distinct()
     # Whoever meets the most others leads its buckets: of near copies, the one most like the rest.
     reach = kept.groupBy("doc").agg(F.sum("n").alias("reach"))
     rows = durable(kept.join(reach, "doc").select("sig", "doc", "reach"))
+    del met, alike, kept, reach
+    release(texts.sparkSession)
 
     nodes = durable(rows.select("doc").distinct().withColumn("comp", F.col("doc")))
     sets = durable(arrow_map(_only(texts, nodes), _sets(width), "doc long, size long, sketch array<long>, set binary"))
+    release(texts.sparkSession)
     bits = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH // 64))
     # Exact in that it holds for every link: sketches and sizes differ less than the sets may.
     near = F.expr(f"{bits} <= ({100 - percent} * (x.size + y.size)) div {100 + percent} AND 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)")

@@ -530,3 +530,23 @@ def test_media_takes_one_worker_a_task(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     stored = tiff.store_texts(docs).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tiff.page_digests(tiff.tiff_pages(stored)).collect())) and got.count() == len(rows)
+
+
+def test_signatures_leave_the_disk_once_buckets_are_stored(spark, monkeypatch):
+    import time
+
+    held = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    sizes, release = [], ngram_join.release
+
+    def spy(session):
+        before, at = held.size(), time.time()
+        release(session)
+        while held.size() >= before and time.time() - at < 5:
+            time.sleep(0.1)
+        sizes.append((before, held.size()))
+
+    monkeypatch.setattr(ngram_join, "release", spy)
+    words = [f"w{k}" for k in range(90)]
+    docs = spark.createDataFrame([(k, " ".join(words[:60] + [f"x{k % 7}"])) for k in range(40)], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.ngram_components(docs).collect()} == {0}
+    assert len(sizes) == 3 and sizes[0][1] < sizes[0][0]
