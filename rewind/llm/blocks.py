@@ -10,7 +10,7 @@ bounded by the block's text, a word's rows by the number of blocks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -36,17 +36,23 @@ def in_blocks(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return packed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
 
+def each_text(table: pa.Table | pa.RecordBatch) -> Iterator[str]:
+    """The texts of a block, one at a time."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    for b in table.column("packed"):
+        yield decompress(b.as_buffer()).decode("utf-8")
+
+
 def unpacked(table: pa.Table) -> list[str]:
     """The texts of a block."""
-    decompress = zstandard.ZstdDecompressor().decompress
-    return [decompress(b).decode("utf-8") for b in table.column("packed").to_pylist()]
+    return list(each_text(table))
 
 
-def name_words(blocked: DataFrame, words: Callable[[list, list[str]], list[bytes]]) -> DataFrame:
+def name_words(blocked: DataFrame, words: Callable[[list, Iterator[str]], list[bytes]]) -> DataFrame:
     """(block, word): the distinct words of each block by words(ids, texts)."""
 
     def of_block(table: pa.Table) -> pa.Table:
-        found = words(table.column("doc_id").to_pylist(), unpacked(table))
+        found = words(table.column("doc_id").to_pylist(), each_text(table))
         block = table.column("block")[0].as_py()
         return pa.table([pa.array([block] * len(found), pa.int32()), pa.array(found, pa.binary())], ["block", "word"])
 

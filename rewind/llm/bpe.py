@@ -3,8 +3,8 @@
 Every distinct pre-token of the corpus is encoded once: its bytes become an array of
 single-byte ids, and a fold merges, step by step, the leftmost pair of lowest rank, looked
 up in a literal map from id pairs to ranks (a merged piece's id is its rank). As Spark looks
-a map type up by scanning it, the literal is a cuckoo table: two arrays, a pair in its place
-in one of them. The fold's state is one array of numbers, each an id with its place in the
+a map type up by scanning it, the literal is two arrays: where the row of a left id starts,
+and the rows, which share one array (see rank_rows). The fold's state is one array of numbers, each an id with its place in the
 word and the rank of its pair with the next, so a step looks up only the two pairs that it
 makes. The ids go back to the documents by blocks (see blocks.py), and decoding concatenates
 the binary pieces of the ids.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks, meet, name_words, unpacked
+from .blocks import each_text, in_blocks, meet, name_words
 from .common import id_and_text, let
 from .pretokens import splitter
 
@@ -36,6 +36,8 @@ from .pretokens import splitter
 BITS = 20
 MASK = (1 << BITS) - 1
 NONE = 1 << BITS
+#: Documents that are encoded at once.
+ROWS = 256
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -54,51 +56,46 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-#: Multipliers of the two places of a pair (left id, right id); products stay below 2 ** 63.
-PLACES = ((2654435761, 2246822519), (3266489917, 668265263))
-SHIFT = 15
-
-
-def rank_tables(pairs: dict[int, int]) -> list[list[int]]:
-    """The cuckoo table: two arrays of (pair << BITS | rank) or 0, at least twice as long as the pairs in all."""
-    size = 1 << max(4, (len(pairs)).bit_length())
-    while True:
-        tables = [[0] * size, [0] * size]
-        for pair, rank in pairs.items():
-            entry, side = pair << BITS | rank, 0
-            for _ in range(500):
-                pair = entry >> BITS
-                m, n = PLACES[side]
-                at = ((pair >> BITS) * m ^ (pair & MASK) * n) >> SHIFT & (size - 1)
-                entry, tables[side][at] = tables[side][at], entry
-                if not entry:
-                    break
-                side = 1 - side
-            else:
+@lru_cache(maxsize=2)
+def _rank_rows(pairs: tuple[tuple[int, int], ...], n: int) -> tuple[list[int], list[int]]:
+    rows = {}
+    for pair, rank in pairs:
+        rows.setdefault(pair >> BITS, []).append((pair & MASK, pair >> BITS << BITS | rank))
+    size = 1 << max(4, (2 * len(pairs)).bit_length())
+    starts, table, k = [0] * n, [-1] * (size + n), 0
+    for left, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        while True:
+            k += 1
+            start = k * 2654435761 % size
+            if all(table[start + right] < 0 for right, _ in row):
                 break
-        else:
-            return tables
-        size *= 2
+        starts[left] = start
+        for right, entry in row:
+            table[start + right] = entry
+    return starts, table
+
+
+def rank_rows(pairs: dict[int, int], n: int) -> tuple[list[int], list[int]]:
+    """(starts, table): the rank of a pair (left, right) of ids below n is in table[starts[left] + right], as left << BITS | rank.
+
+    The rows of all left ids lie in one array, shifted so that no two entries meet; what is there of another row has another left id, what is empty is -1.
+    """
+    return _rank_rows(tuple(sorted(pairs.items())), n)
 
 
 def encode_column(word: Column, ranks: dict[bytes, int]) -> Column:
     """The ids (array<int>) of a binary pre-token."""
-    tables = rank_tables(pair_ranks(ranks))
-    size = len(tables[0])
-    literal = F.from_json(F.lit(json.dumps(tables, separators=(",", ":"))), "array<array<bigint>>")  # folded when the query is planned
+    rows, table = (F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<bigint>") for x in rank_rows(pair_ranks(ranks), max(ranks.values()) + 1))  # folded when the query is planned
     single = F.array(*[F.lit(ranks[bytes([b])]).cast("long") for b in range(256)])
-    code = F.hex(word)
-    first = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.element_at(single, F.conv(F.substring(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))
+    # In Latin-1 every byte is a character, whose code is the byte.
+    ids_of = lambda text: F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.get(single, F.ascii(F.substring(text, i, F.lit(1)))))
+    first = let(F.decode(word, "ISO-8859-1"), ids_of)
 
     def rank(t, a, b):
-        """The rank of the pair of ids a, b (long) in the tables t, or NONE."""
-        pair = F.shiftleft(a, BITS).bitwiseOR(b)
-        found = F.when(b.isNull(), F.lit(NONE).cast("long"))
-        for k, (m, n) in enumerate(PLACES):
-            mixed = (a * F.lit(m).cast("long")).bitwiseXOR(b * F.lit(n).cast("long"))
-            entry = F.get(F.get(t, F.lit(k)), F.shiftright(mixed, SHIFT).bitwiseAND(F.lit(size - 1).cast("long")).cast("int"))
-            found = found.when(F.shiftright(entry, BITS) == pair, entry.bitwiseAND(F.lit(MASK).cast("long")))
-        return found.otherwise(F.lit(NONE).cast("long"))
+        """The rank of the pair of ids a, b (long) in the tables t, or NONE, also if b is null."""
+        starts, table = t
+        found = F.get(table, (F.get(starts, a.cast("int")) + b).cast("int"))
+        return F.when(F.shiftright(found, BITS) == a, found.bitwiseAND(F.lit(MASK).cast("long"))).otherwise(F.lit(NONE).cast("long"))
 
     id_of = lambda e: e.bitwiseAND(F.lit(MASK).cast("long"))
     place_of = lambda e: e.bitwiseAND(F.lit(MASK << BITS).cast("long"))
@@ -124,7 +121,7 @@ def encode_column(word: Column, ranks: dict[bytes, int]) -> Column:
         step = lambda s, _: F.when(s["least"] >= none, s).otherwise(merge(t, s))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), begin, step, lambda s: F.transform(s["a"], lambda e: id_of(e).cast("int")))
 
-    return F.when(F.octet_length(word) > 0, let(literal, lambda t: let(first, lambda ids: fold(t, ids)))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.octet_length(word) > 0, let(rows, lambda r: let(table, lambda t: let(first, lambda ids: fold((r, t), ids))))).otherwise(F.array().cast("array<int>"))
 
 
 def decode_column(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -185,26 +182,37 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
 
     def documents(table: pa.Table, encoded: pa.Table) -> pa.Table:
         split, (every, pieces) = splitter(pattern), _decoder(shared.value)
-        of, back = {}, {}
-        lists = encoded.column("ids").combine_chunks()
-        flat, ends = (lists.flatten().to_numpy().astype(np.int64) + 32768 * short).astype("<u4"), np.cumsum(lists.value_lengths().to_numpy()).tolist()
-        raw, own, start = flat.tobytes(), [pieces[i] for i in flat.tolist()], 0
-        for end in ends:
-            word = b"".join(own[start:end])  # the ids alone say which word they are of
-            of[w := word.decode("utf-8")], back[w] = raw[4 * start : 4 * end], word
-            start = end
-        ids, decoded = [], []
-        for t in unpacked(table):
-            parts = split(t)
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+        of = {}
+        for chunk in encoded.column("ids").chunks:
+            flat = (chunk.flatten().to_numpy().astype(np.int64) + 32768 * short).astype("<u4")
+            raw, own, start = flat.tobytes(), list(map(pieces.__getitem__, flat.tolist())), 0
+            for end in np.cumsum(chunk.value_lengths().to_numpy()).tolist():
+                of[b"".join(own[start:end]).decode("utf-8")] = raw[4 * start : 4 * end]  # the ids alone say which word they are of
+                start = end
+
+        def long_words(parts: list[str]) -> None:
             for w in parts:
                 if w not in of:
                     if len(b := w.encode("utf-8")) <= fold_limit:
                         raise KeyError(f"a word of block {table.column('block')[0]} came back without ids")
-                    own = merge_long(b, every)
-                    of[w], back[w] = np.asarray(own, "<u4").tobytes(), b"".join([pieces[i] for i in own])
-            ids.append(b"".join([of[w] for w in parts]))
-            decoded.append(b"".join([back[w] for w in parts]))
-        return pa.table([table.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                    of[w] = np.asarray(merge_long(b, every), "<u4").tobytes()
+
+        def encoded_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids, decoded = [], []
+            for t in each_text(batch):
+                parts = split(t)
+                try:
+                    own = b"".join(map(of.__getitem__, parts))
+                except KeyError:
+                    long_words(parts)
+                    own = b"".join(map(of.__getitem__, parts))
+                ids.append(own)
+                decoded.append(b"".join(map(pieces.__getitem__, np.frombuffer(own, "<u4").tolist())))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], schema=schema)
+
+        # A batch of rows at a time: the texts, ids and bytes of a whole block would be in memory several times over, here and in the JVM.
+        return pa.Table.from_batches([encoded_rows(b) for b in table.to_batches(max_chunksize=ROWS)], schema)
 
     return meet(blocked, known, documents, "doc_id long, ids binary, decoded binary")
 

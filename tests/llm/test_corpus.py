@@ -106,6 +106,29 @@ def test_byte_bpe(spark, odd, empty):
         assert bpe.merge_long(w, ranks) == e._core_bpe.encode_single_piece(w)
 
 
+def test_byte_bpe_holds_a_batch_of_a_block(spark, monkeypatch):
+    """A block goes back in batches, and its texts are not all unpacked at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    parts = []
+    monkeypatch.setattr(bpe, "meet", lambda blocked, known, fn, schema: parts.append((blocked, known, fn)))
+    text = "abc de " * 2000
+    bpe.encode_documents(spark.createDataFrame([(i, text) for i in range(2000)], "doc_id long, text string"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    (blocked, known, fn) = parts[0]
+    table, encoded = blocked.filter("block = 0").toArrow().combine_chunks(), known.toArrow()
+    fn(table.slice(0, 1), encoded)  # reads the vocabulary
+    tracemalloc.start()
+    out = fn(table, encoded)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == table.num_rows and max(b.num_rows for b in out.to_batches()) <= 256
+    assert {bytes(d.as_buffer()).decode() for d in out.column("decoded")} == {text}
+    assert peak < 0.8 * table.num_rows * len(text), peak
+    assert out.schema.types == [pa.int64(), pa.binary(), pa.binary()]
+
+
 def brute_quality(text):
     words = [w for w in SPACES.split(text) if w]
     lines = [s for s in text.split("\n") if SPACES.sub("", s)]
