@@ -73,27 +73,69 @@ def _salt() -> Column:
     return F.pmod(F.hash("depends_on"), F.lit(SALTS))
 
 
+def _members(wide: DataFrame) -> DataFrame:
+    """(cls, pos, last_at and a member's columns): a row for each member of a class, whose last read was at last_at."""
+    classes = wide.groupBy("cls").agg(F.first("members").alias("members"), F.max("read_at").alias("last_at"))
+    return classes.select("cls", "last_at", F.posexplode("members").alias("pos", "m")).select("cls", "last_at", "pos", "m.*")
+
+
+def _in_time(h: DataFrame, members: DataFrame) -> DataFrame:
+    """Writes that were committed by the last wide read of their table: no other one is met. A row for each table is broadcast."""
+    last = members.groupBy("table_name").agg(F.max("last_at").alias("table_last"))
+    return h.join(F.broadcast(last), "table_name").filter(F.col("committed_at") <= F.col("table_last")).drop("table_last")
+
+
 def _spans(wide: DataFrame, h: DataFrame, match_blocks: bool) -> DataFrame:
     """(cls, depends_on, rank, table_name, granularity, since, until): when a writer is met by readers of a class, and by which member.
 
     A read at or after since, and before until if there is one, meets it by that member and by no
     more precise one, so spans of a writer don't overlap: no pair is found twice.
     """
-    members = wide.groupBy("cls").agg(F.first("members").alias("members")).select("cls", F.posexplode("members").alias("pos", "m")).select("cls", "pos", "m.*")
+    members = _members(wide)
+    h = _in_time(h, members)
     by_table = h.groupBy("table_name", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("at")).withColumn("salt", _salt())
     on = ["cls", "pos", "rank", "table_name", "granularity", "depends_on"]
-    met = by_table.join(_salted(members.filter("blks IS NULL")), ["table_name", "salt"]).select(*on, "at")
+    met = by_table.join(_salted(members.filter("blks IS NULL")), ["table_name", "salt"]).filter("at <= last_at").select(*on, "at")
     if match_blocks:
         placed = h.groupBy("table_name", "blk", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("at")).withColumn("salt", _salt())
         paged = members.filter("blks IS NOT NULL")
-        in_block = placed.join(_salted(paged.withColumn("blk", F.explode("blks"))), ["table_name", "blk", "salt"]).select(*on, "at")
-        anywhere = placed.filter("blk IS NULL").drop("blk").join(_salted(paged), ["table_name", "salt"]).select(*on, "at")
+        in_block = placed.join(_salted(paged.withColumn("blk", F.explode("blks"))), ["table_name", "blk", "salt"]).filter("at <= last_at").select(*on, "at")
+        anywhere = placed.filter("blk IS NULL").drop("blk").join(_salted(paged), ["table_name", "salt"]).filter("at <= last_at").select(*on, "at")
         met = met.unionByName(in_block.unionByName(anywhere).groupBy(*on).agg(F.min("at").alias("at")))
     before = Window.partitionBy("cls", "depends_on").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     spans = met.withColumn("until", F.min("at").over(before)).filter("until IS NULL OR at < until")
     return spans.select("cls", "depends_on", "rank", "table_name", "granularity", F.col("at").alias("since"), "until")
 
 
+def _spans_of_members(wide: DataFrame, h: DataFrame, match_blocks: bool) -> tuple[DataFrame, DataFrame]:
+    """(wide, spans) of classes of one member each, with less to list than _spans.
+
+    As nothing is more precise than the only member, no window is needed. Writes without a block
+    meet every page read of their table, so they are not listed for each set of pages: the page
+    readers of a table get one more class, that meets these writes; a span by block ends where
+    they begin.
+    """
+    members = _members(wide)
+    h = _in_time(h, members)
+    given = ["cls", "depends_on", "rank", "table_name", "granularity"]
+    by_table = h.groupBy("table_name", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("since")).withColumn("salt", _salt())
+    never = F.lit(None).cast(h.schema["committed_at"].dataType).alias("until")
+    met = by_table.join(_salted(members.filter("blks IS NULL")), ["table_name", "salt"]).filter("since <= last_at").select(*given, "since", never)
+    if not match_blocks:
+        return wide, met
+    placed = h.groupBy("table_name", "blk", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("at")).withColumn("salt", _salt())
+    paged = _salted(members.filter("blks IS NOT NULL").withColumn("blk", F.explode("blks")))
+    in_block = placed.join(paged, ["table_name", "blk", "salt"]).filter("at <= last_at").groupBy(*given).agg(F.min("at").alias("since"))
+    anywhere = placed.filter("blk IS NULL").select("table_name", "depends_on", F.col("at").alias("until"))
+    placed_first = in_block.join(anywhere, ["table_name", "depends_on"], "left").filter("until IS NULL OR since < until").select(*given, "since", "until")
+    member = F.col("members")[0]
+    joint = F.unhex(F.sha2(F.to_json(F.struct(member["rank"], member["table_name"], F.lit("page readers"))), 256))
+    readers_of_pages = wide.filter(member["blks"].isNotNull()).withColumn("cls", joint)
+    kinds = readers_of_pages.groupBy("cls").agg(F.first(member).alias("m"), F.max("read_at").alias("last_at")).select("cls", "last_at", "m.*").drop("blks")
+    unplaced = anywhere.withColumn("salt", _salt()).join(_salted(kinds), ["table_name", "salt"]).filter("until <= last_at").select(*given, F.col("until").alias("since"), never)
+    return wide.unionByName(readers_of_pages), met.unionByName(placed_first).unionByName(unplaced)
+
+
 def _within() -> Column:
     return (F.col("read_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("read_at") < F.col("until")))
 
@@ -108,8 +150,10 @@ def _list_pairs(wide: DataFrame, spans: DataFrame, skip: DataFrame | None = None
 
     Each pair is made once, so none is shuffled: readers of a class are put together in blocks of
     neighbours in time, at most some BLOCK of them; a span goes to the blocks it overlaps, and is
-    unfolded there. What moves is a row for each span and block.
+    unfolded there. What moves is a row for each span and block. These rows are few beside the
+    pairs, so how many tasks unfold them is fixed, not left to their size.
     """
+    tasks = max(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * wide.sparkSession.sparkContext.defaultParallelism)
     hour = F.date_trunc("hour", "read_at")
     per_hour = wide.groupBy("cls", hour.alias("hour")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -124,7 +168,7 @@ def _list_pairs(wide: DataFrame, spans: DataFrame, skip: DataFrame | None = None
         without = skip.join(dealt.drop("read_at"), "txid").groupBy(*key, "depends_on").agg(F.collect_list("txid").alias("without"))
         tiles = tiles.join(without, [*key, "depends_on"], "left")
         keep = keep & (F.col("without").isNull() | ~F.array_contains("without", F.col("txid")))
-    met = tiles.join(_salted(blocks.select(*key, "block")), [*key, "salt"])
+    met = tiles.repartition(tasks, *key, "salt").join(_salted(blocks.select(*key, "block")), [*key, "salt"])
     return met.select(*[c for c in tiles.columns if c not in (*key, "salt")], F.inline("block")).filter(keep).select("txid", "depends_on", "table_name", "granularity", "rank")
 
 
@@ -144,7 +188,7 @@ def rw_edges(history: DataFrame, read_set: DataFrame, *, exact: bool = True, coa
     keyed = _exact_edges(reads, h) if exact else None
     if coarse:
         wide = _wide_reads(reads, match_blocks, False)
-        listed = _list_pairs(wide, _spans(wide, h, match_blocks)).drop("rank")
+        listed = _list_pairs(*_spans_of_members(wide, h, match_blocks)).drop("rank")
         if not exact:
             return listed
         # A reader of the whole table with this label meets the writer there too.

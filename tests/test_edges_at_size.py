@@ -92,3 +92,21 @@ def test_what_is_not_asked_for_is_not_listed(spark):
     for name in COUNTED:
         assert not above_pairs(QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan())
 
+
+def spans_listed(monkeypatch, run):
+    """The readers and spans that the pairs of run() are listed from."""
+    got = []
+    monkeypatch.setattr(deps, "_list_pairs", lambda wide, spans, skip=None, own=deps._list_pairs: got.append((wide, spans)) or own(wide, spans, skip))
+    run()
+    return got[0]
+
+
+def test_writes_without_a_block_are_listed_once(spark, monkeypatch):
+    """Not once for each set of pages that some reader read."""
+    at = START + timedelta(hours=1)
+    writes = [(t, t, "t", f"k{t}", START if t < 50 else at, False, None if t < 50 else 1) for t in range(100)]
+    h = spark.createDataFrame(writes, "id long, txid long, table_name string, pk_text string, committed_at timestamp_ntz, is_undo boolean, blk long")
+    r = spark.createDataFrame([(t, "t", 1, None, t % 10) for t in range(50, 100)], "reader_xid long, table_name string, locktype int, read_pk string, blk long")
+    wide, spans = spans_listed(monkeypatch, lambda: deps.rw_edges(h, r, exact=False, match_blocks=True))
+    assert spans.filter("depends_on < 50").count() == 50 and wide.filter("txid < 60").count() == 20
+    assert deps.rw_edges(h, r, exact=False, match_blocks=True).count() == 50 * 50 + 5 * 50 - 5
