@@ -14,7 +14,7 @@ BLOCK, SALTS = 512, 8
 
 def ww_conflicts(history: DataFrame, txid: int | None = None) -> DataFrame:
     """(txid, depends_on): later writers of a key that depends_on wrote. One target or all."""
-    h = tracked_writes(history)
+    h = tracked_writes(history).select("table_name", "pk_text", "txid", "id").repartition("table_name", "pk_text")  # met, grouped and joined where it lies
     target = h if txid is None else h.filter(F.col("txid") == txid)
     last = target.groupBy("table_name", "pk_text", F.col("txid").alias("depends_on")).agg(F.max("id").alias("last_id"))
     return h.join(last, ["table_name", "pk_text"]).filter((F.col("id") > F.col("last_id")) & (F.col("txid") != F.col("depends_on"))).select("txid", "depends_on").distinct()
@@ -41,7 +41,7 @@ def _precise() -> Column:
 
 def _exact_edges(reads: DataFrame, h: DataFrame) -> DataFrame:
     """Distinct (txid, depends_on, table_name) of reads that met writes on a key."""
-    writes = h.groupBy("table_name", "pk_text", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
+    writes = h.repartition("table_name", "pk_text").groupBy("table_name", "pk_text", F.col("txid").alias("depends_on")).agg(F.min("committed_at").alias("written_at"))
     guard = (F.col("read_at") >= F.col("written_at")) & (F.col("txid") != F.col("depends_on"))
     return reads.filter(_precise()).withColumnRenamed("read_pk", "pk_text").join(writes, ["table_name", "pk_text"]).filter(guard).select("txid", "depends_on", "table_name").distinct()
 
@@ -198,6 +198,13 @@ def rw_edges(history: DataFrame, read_set: DataFrame, *, exact: bool = True, coa
     return tuples.unionByName(listed) if coarse else tuples
 
 
+def _pairs_of(wide: DataFrame, reads: DataFrame, h: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs that met on a key or are in also, of readers with wide reads: pairs of others can't be met by those."""
+    who = wide.select("txid").distinct()
+    pairs = _exact_edges(reads.join(who, "txid", "left_semi"), h).select("txid", "depends_on")
+    return (pairs if also is None else pairs.unionByName(also.join(who, "txid", "left_semi"))).distinct()
+
+
 def _best_parts(history: DataFrame, read_set: DataFrame, *, also: DataFrame | None = None, target: int | None = None, match_blocks: bool = False, since=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(near, far, wide, spans): the best edges of pairs that met on a key or are in also; those of all others; what the others come from."""
     reads = _resolved(history, read_set, match_blocks, since)
@@ -206,8 +213,7 @@ def _best_parts(history: DataFrame, read_set: DataFrame, *, also: DataFrame | No
     keyed = _exact_edges(reads, h)
     wide = _wide_reads(reads, match_blocks, True)
     spans = _spans(wide, h, match_blocks)
-    pairs = keyed.select("txid", "depends_on")
-    pairs = (pairs if also is None else pairs.unionByName(also)).distinct()
+    pairs = _pairs_of(wide, reads, h, also)
     columns = ["txid", "depends_on", "table_name", "granularity"]
     near = best_edges(keyed.withColumn("granularity", F.lit("tuple")).unionByName(_met_by(pairs, wide, spans).select(columns)))
     return near, _list_pairs(wide, spans, pairs), wide, spans
@@ -240,7 +246,7 @@ def upgraded_edges(history: DataFrame, read_set: DataFrame) -> DataFrame:
     """
     reads, h = _resolved(history, read_set, False), tracked_writes(history)
     keyed, wide = _exact_edges(reads, h), _wide_reads(reads, False, True)
-    spans, pairs = _spans(wide, h, False), keyed.select("txid", "depends_on").distinct()
+    spans, pairs = _spans(wide, h, False), _pairs_of(wide, reads, h)
     upserted = upgrade_edges(_met_by(pairs, wide, spans), best_edges(keyed.withColumn("granularity", F.lit("tuple"))))
     return upserted.unionByName(_list_pairs(wide, spans, pairs).select(upserted.columns))
 

@@ -94,9 +94,9 @@ def test_what_is_not_asked_for_is_not_listed(spark):
 
 
 def spans_listed(monkeypatch, run):
-    """The readers and spans that the pairs of run() are listed from."""
+    """The readers, spans and pairs to leave out that the pairs of run() are listed from."""
     got = []
-    monkeypatch.setattr(deps, "_list_pairs", lambda wide, spans, skip=None, own=deps._list_pairs: got.append((wide, spans)) or own(wide, spans, skip))
+    monkeypatch.setattr(deps, "_list_pairs", lambda wide, spans, skip=None, own=deps._list_pairs: got.append((wide, spans, skip)) or own(wide, spans, skip))
     run()
     return got[0]
 
@@ -107,6 +107,22 @@ def test_writes_without_a_block_are_listed_once(spark, monkeypatch):
     writes = [(t, t, "t", f"k{t}", START if t < 50 else at, False, None if t < 50 else 1) for t in range(100)]
     h = spark.createDataFrame(writes, "id long, txid long, table_name string, pk_text string, committed_at timestamp_ntz, is_undo boolean, blk long")
     r = spark.createDataFrame([(t, "t", 1, None, t % 10) for t in range(50, 100)], "reader_xid long, table_name string, locktype int, read_pk string, blk long")
-    wide, spans = spans_listed(monkeypatch, lambda: deps.rw_edges(h, r, exact=False, match_blocks=True))
+    wide, spans, _ = spans_listed(monkeypatch, lambda: deps.rw_edges(h, r, exact=False, match_blocks=True))
     assert spans.filter("depends_on < 50").count() == 50 and wide.filter("txid < 60").count() == 20
     assert deps.rw_edges(h, r, exact=False, match_blocks=True).count() == 50 * 50 + 5 * 50 - 5
+
+
+def test_pairs_to_leave_out_are_of_wide_readers(spark, monkeypatch):
+    """All pairs that met on a key are many; of readers without a wide read none can be listed, nor of writers after the last wide read."""
+    early, late = START + timedelta(hours=1), START + timedelta(hours=9)
+    writes = [(t, t, "t", "k", START if t == 0 else early if t <= 3 else late, False) for t in range(40)]
+    h = spark.createDataFrame(writes, "id long, txid long, table_name string, pk_text string, committed_at timestamp_ntz, is_undo boolean")
+    reads = [(t, "t", 2, "k") for t in range(40)] + [(t, "t", 0, None) for t in range(1, 4)]
+    r = spark.createDataFrame(reads, "reader_xid long, table_name string, locktype int, read_pk string")
+    wide, spans, skip = spans_listed(monkeypatch, lambda: deps.conflicts(h, r))
+    assert sorted({x.txid for x in skip.collect()}) == [1, 2, 3]
+    assert sorted({x.depends_on for x in spans.collect()}) == [0, 1, 2, 3]
+    rw = deps.conflicts(h, r).filter("kind = 'rw'").collect()
+    when = [w[4] for w in writes]
+    assert sorted((x.txid, x.depends_on) for x in rw) == [(a, b) for a in range(40) for b in range(40) if a != b and when[a] >= when[b]]
+    assert {x.granularity for x in rw} == {"tuple"}
